@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprint.llm import bpe, language_id, license_scan, quality, secrets
+from gridprint.llm import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, near_dedup, quality, secrets
 from gridprint.llm.common import documents
 
 #: The tokenizer file of the BPE query.
@@ -23,14 +23,27 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(documents(spark, sf_dir), labels)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.linked(documents(spark, sf_dir)).drop("class_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("rejected_by")
 
@@ -39,9 +52,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op5_secret_scan, op7_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_minhash_near_dedup, op5_secret_scan, op6_exact_dedup, op7_quality_rules, op9_bpe, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op6_exact_dedup": exact_dedup.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}

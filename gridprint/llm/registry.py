@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprint.llm import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, near_dedup, quality, secrets
+from gridprint.llm import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, near_dedup, quality, secrets, suffix_dedup
 from gridprint.llm.common import documents
 
 #: The tokenizer file of the BPE query.
@@ -48,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), tokenizer_path()))
 
@@ -57,7 +61,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_minhash_near_dedup, op5_secret_scan, op6_exact_dedup, op7_quality_rules, op9_bpe, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_minhash_near_dedup, op5_secret_scan, op6_exact_dedup, op7_quality_rules, op8_suffix_array_dedup, op9_bpe, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

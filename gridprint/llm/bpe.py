@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -27,11 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import ship
+from gridprint.llm.common import by_size, most_frequent, ship
 
+#: Fixed value: the word pattern of the tokenizer file that the shorter one below stands in for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of ASCII and Latin letters only are composed already, and for them this finds the same words faster.
+COMMON = re.compile("[\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*+\\Z").match
+COMMON_WORDS = re.compile("[a-z\xdf-\xf6\xf8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\u017f]+").findall
 MAX_WORDS = 60_000
 MIN_COUNT = 3
-MEMO = 400_000
+MEMO = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +71,27 @@ class Merges:
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest rank first, leftmost among equals."""
         raw = word.encode("utf-8", "surrogatepass")
-        ids = [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]
+        inner = self.inner
+        ids = [*[inner[b] for b in raw[:-1]], self.last[raw[-1]]]
+        if len(ids) > 40:
+            return self.merge_long(ids)
+        get, none = self.rank.get, (1 << 60, -1)
+        found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap."""
         n, rank = len(ids), self.rank
         following, previous = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(*rank[p], i) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in rank]
@@ -91,6 +118,7 @@ class Splitter:
 
     def __init__(self, pattern: str, special: dict[str, int]):
         self.words = regex.compile(pattern).findall
+        self.fast = pattern == PATTERN
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -104,6 +132,8 @@ class Splitter:
         return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
+        if self.fast and COMMON(text):
+            return COMMON_WORDS(text.lower())
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.words(text.lower())
@@ -172,42 +202,79 @@ class Lexicon:
         ends = np.cumsum(np.concatenate([[6], whole[:6]]))
         return cls(*(whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)))
 
-    def find(self, word: bytes) -> np.ndarray | None:
-        state, number, size = len(self.final) - 1, 0, len(self.edges)
-        for b in word:
-            key = state << 8 | b
-            at = int(self.edges.searchsorted(key))
-            if at >= size or self.edges[at] != key:
-                return None
-            state, number = int(self.goto[at]), number + int(self.skip[at])
-        return self.ids[self.offsets[number] : self.offsets[number + 1]] if self.final[state] else None
+    def find(self, words: list[bytes]) -> list[list[int] | None]:
+        """Ids of each word, None if it isn't here. All words take a step at a time."""
+        out: list[list[int] | None] = [None] * len(words)
+        size, longest = np.array([len(w) for w in words], np.int64), 64
+        live = np.flatnonzero(size <= longest)
+        if not len(live) or not len(self.edges):
+            return out
+        flat = np.frombuffer(b"".join([words[i] for i in live]), np.uint8).astype(np.int64)
+        size = size[live]
+        begin = np.cumsum(size) - size
+        state, number = np.full(len(live), len(self.final) - 1), np.zeros(len(live), np.int64)
+        edges, goto, skip = self.edges, self.goto, self.skip
+        for step in range(longest + 1):
+            ended = size == step
+            for i, n in zip(live[ended].tolist(), np.where(self.final[state[ended]] > 0, number[ended], -1).tolist(), strict=True):
+                if n >= 0:
+                    out[i] = self.ids[self.offsets[n] : self.offsets[n + 1]].tolist()
+            keep = ~ended
+            live, size, begin, state, number = (x[keep] for x in (live, size, begin, state, number))
+            if not len(live):
+                break
+            key = state << 8 | flat[begin + step]
+            at = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+            ok = edges[at] == key
+            live, size, begin, at, number = (x[ok] for x in (live, size, begin, at, number))
+            state, number = goto[at], number + skip[at]
+        return out
 
 
-class Encoder(dict):
-    """word -> (ids as little-endian bytes, tokens joined by spaces); a dictionary in front of the automaton."""
+class Encoder:
+    """Words to ids: dictionaries in front of the automaton, and merging behind it."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
-        super().__init__()
         self.merges, self.lexicon, self.split = merges, lexicon, Splitter(merges.pattern, merges.special)
-
-    def ids(self, word: str) -> list[int]:
-        if word[0] == "\0" and word[1:] in self.merges.special:
-            return [self.merges.special[word[1:]]]
-        found = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon is not None and len(word) < 64 else None
-        return self.merges.merge(word) if found is None else found.tolist()
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = self.ids(word)
-        out = np.array(ids, "<u4").tobytes(), " ".join(self.merges.token[i] for i in ids)
-        if len(word) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
-        return out
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        got = [self[w] for w in self.split(text or "")]
-        return b"".join([a for a, _ in got]), " ".join([b for _, b in got])
+        self.packed: dict[str, bytes] = {}
+        self.tokens: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Put words that the dictionaries lack into them."""
+        new = list(words)
+        token, special = self.merges.token, self.merges.special
+        for word, found in zip(new, self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]) if self.lexicon is not None else [None] * len(new), strict=True):
+            if word[0] == "\0" and word[1:] in special:
+                found = [special[word[1:]]]
+            elif found is None:
+                found = self.merges.merge(word)
+            self.tokens[word] = " ".join([token[i] for i in found])
+            self.packed[word] = struct.pack(f"<{len(found)}I", *found)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """(ids as little-endian bytes, tokens joined by spaces) of each text."""
+        words = [self.split(t or "") for t in texts]
+        every = set().union(*words)
+        missing = every.difference(self.packed)
+        if len(self.packed) + len(missing) > MEMO:
+            self.packed.clear()
+            self.tokens.clear()
+            missing = every
+        self.learn(missing)
+        ids, tokens = self.packed.__getitem__, self.tokens.__getitem__
+        return [b"".join(map(ids, w)) for w in words], [" ".join(map(tokens, w)) for w in words]
+
+
+#: The encoder of this worker, kept from task to task.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, data: bytes) -> Encoder:
+    key = path, hash(data)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(Merges(path), Lexicon.mapped(data))
+    return _ENCODERS[key]
 
 
 def count_words(path: str):
@@ -231,10 +298,10 @@ def count_words(path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> list[str]:
-    """The most frequent words of all rows, at most max_words; ties by the word."""
+    """The most frequent words of all rows, at most max_words, all of a frequency class or none."""
     ship(docs.sparkSession)
     counts = docs.select("text").mapInArrow(count_words(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    return sorted(r["word"] for r in most_frequent(counts.where(F.col("n") >= min_count), max_words).collect())
 
 
 def encode(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
@@ -246,17 +313,16 @@ def encode(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
     data = spark.sparkContext.broadcast(lexicon.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Merges(path), Lexicon.mapped(data.value))
+        own = encoder(path, data.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [encoder.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.string())], ["doc_id", "ids", "decoded"])
+            for part in by_size(batch, 1, 4 << 20):
+                ids, decoded = own.encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
     """The digest columns of encode()'s rows."""
-    return encoded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), *["ids"] * keep_ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -6,8 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,26 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of the highest n, at most `limit`: whole frequency classes (sixteen per doubling of n), so no task or driver sorts them."""
+    counts = materialise(counts, "counts")
+    classes = counts.groupBy(F.floor(16 * F.log2("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()
+    total, least = 0, None
+    for r in sorted(classes, key=lambda r: -r["c"]):
+        total += r["k"]
+        if total > limit:
+            break
+        least = r["c"]
+    return counts.where(F.floor(16 * F.log2("n")) >= least) if least is not None else counts.limit(0)
+
+
+def by_size(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `size` bytes together; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, until - at)
+        at = until

@@ -249,8 +249,26 @@ def predict(docs: DataFrame, model: Model, z: float = Z, slack: float = SLACK) -
     return docs.mapInArrow(run, schema)
 
 
+def learning_rows(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+
+
+def accepted(docs: DataFrame, model: Model | None = None, z: float = Z, slack: float = SLACK) -> DataFrame:
+    """The rows of docs, all columns, whose language is recognised."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(fit(learning_rows(docs)) if model is None else model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist(), z, slack)[3], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted, bits: learned from the rows that are not held out."""
-    model = fit(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    model = fit(learning_rows(docs))
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted", "bits")

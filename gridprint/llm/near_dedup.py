@@ -7,12 +7,13 @@ end as soon as all are. Two sketches agree in a coordinate with the probability
 of the sets' Jaccard similarity, with concentration as for T independent hashes.
 
 Rows with the same shingle set form a class; only one representative of a class
-goes on. Sketches are cut into bands; buckets of a band propose links. Inside a
-bucket each representative is tested against one hub a round, links are confirmed
-on the full sets, and representatives that are already connected are not paired
-again. After the hub rounds, pairs of one bucket that are still in different
-components are all tested, so no link that the bands propose is lost while a
-bucket of copies never emits all its pairs. With 32 bands of 4, a pair at 0.75
+goes on. Sketches are cut into bands; buckets of a band propose links. In a hub
+round a bucket falls into small random groups and members are tested against
+their groups' hubs; links are confirmed on the full sets, and representatives
+that are already connected are not paired again. After the hub rounds, pairs of
+one bucket that are still in different components are all tested, unless their
+sketches rule them out, so no link that the bands propose is lost while a bucket
+of copies never emits all its pairs. With 32 bands of 4, a pair at 0.75
 shares no band with probability 5e-6; pairs that are more alike, or are linked
 through others, less.
 
@@ -35,9 +36,14 @@ from pyspark.sql import functions as F
 from gridprint.llm.common import materialise, ship, with_row_id
 from gridprint.llm.hashing import U, mix, shingles
 
-T, ROWS = 128, 4
-HUB_ROUNDS = 3
+#: Coordinates of a sketch; bands, and rows of a band, that are cut from the first ones.
+T, BANDS, ROWS = 256, 32, 4
+#: Rounds, members that share a hub in a round, and hubs that a member is tested against in one.
+HUB_ROUNDS, SHARING, PARTNERS = 2, 5, 4
 SIMILAR = 75
+#: Coordinates, of which four bits are kept, that may differ in a pair of the last step: at a similarity of 0.75 a fraction
+#: 0.234 differs on average, and this is 4.5 standard deviations more, which a pair exceeds with probability 4e-6.
+DIFFERING = 90
 _SALTS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -59,29 +65,51 @@ def sketch(h: np.ndarray, t: int = T) -> np.ndarray:
     return out
 
 
-def bands(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(s: np.ndarray, rows: int = ROWS, n: int = BANDS) -> np.ndarray:
     """A key per band; the band's number is part of it."""
-    s = s.reshape(-1, rows)
+    s = s[: n * rows].reshape(-1, rows)
     key = np.arange(len(s), dtype=U)
     for k in range(rows):
         key = mix(key * U(0x9E3779B97F4A7C15) + s[:, k])
     return key.view(np.int64)
 
 
+def nibbles(s: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, sixteen coordinates to a number."""
+    low = (mix(s) & U(15)).reshape(-1, 16) << (np.arange(16, dtype=U) * U(4))
+    return np.bitwise_or.reduce(low, axis=1).view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Coordinates whose four bits differ, of two arrays of nibbles()."""
+    ones = F.lit(0x1111111111111111).cast("long")
+    total = F.lit(0)
+    for k in range(T // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseAND(ones))
+    return total
+
+
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, text, n_shingles, k1, k2, bands); k1 and k2 are a 128-bit key of the set."""
+    """(doc_id, text) -> (doc_id, text, n_shingles, k1, k2, bands, bits); k1 and k2 are a 128-bit key of the set."""
+    none = np.zeros(0, np.int64)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else none))
+
     for batch in batches:
-        n, keys, out = [], [], []
+        n, keys, out, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             h = shingles(text)
             n.append(len(h))
             keys.append((int(mix(h + U(1)).sum(dtype=U).view(np.int64)), int(mix(h + U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64))))
-            out.append(bands(sketch(h)) if len(h) else np.zeros(0, np.int64))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            own = sketch(h) if len(h) else none
+            out.append(bands(own) if len(h) else none)
+            bits.append(nibbles(own) if len(h) else none)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            ["doc_id", "text", "n_shingles", "k1", "k2", "bands"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), lists(out), lists(bits)],
+            ["doc_id", "text", "n_shingles", "k1", "k2", "bands", "bits"],
         )
 
 
@@ -134,7 +162,7 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sketched, f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")), "sketches")
+    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sketched, f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>")), "sketches")
     key = ["k1", "k2", "n_shingles"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "classes")
@@ -143,7 +171,8 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     keyed = materialise(keyed, "bands")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = materialise(keyed.join(shared, "key"), "buckets")
-    texts = materialise(rows.select("rid", "text").join(buckets.select("rid").distinct(), "rid"), "texts")
+    texts = materialise(rows.select("rid", "text", "bits").join(buckets.select("rid").distinct(), "rid"), "texts")
+    sketches = texts.select("rid", "bits")
     roots = None
 
     def rooted() -> DataFrame:
@@ -164,14 +193,21 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
 
     for turn in range(hub_rounds + 1):
         have = rooted()
-        mixed = have.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        mixed = have.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        live = have.join(mixed.select("key", "n"), "key")
         if turn < hub_rounds:
-            offers = have.join(mixed.select("key", F.col("hub.rid").alias("a"), F.col("hub.root").alias("hub_root")), "key").where(F.col("root") != F.col("hub_root"))
-            pairs = offers.groupBy(F.col("rid").alias("b")).agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
+            # a bucket falls into small random groups, other ones in each bucket and round; a group's members meet its hub
+            live = live.withColumn("part", F.pmod(F.xxhash64("rid", "key", F.lit(turn)), F.ceil(F.col("n") / SHARING)))
+            hubs = live.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root")).alias("hub"))
+            offers = live.join(hubs.select("key", "part", F.col("hub.rid").alias("a"), F.col("hub.root").alias("hub_root")), ["key", "part"]).where(F.col("root") != F.col("hub_root"))
+            some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a"))), 1, PARTNERS)  # of one hub a band
+            offered = offers.groupBy(F.col("rid").alias("b")).agg(some.alias("some")).select("b", F.explode("some.a").alias("a"))
+            pairs = offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            left = have.join(mixed.select("key"), "key")
-            one, two = left.select("key", F.col("rid").alias("a"), F.col("root").alias("root_a")), left.select("key", F.col("rid").alias("b"), F.col("root").alias("root_b"))
-            pairs = one.join(two, "key").where("root_a <> root_b and a < b").select("a", "b").distinct()
+            left = live.join(sketches, "rid")
+            one, two = (left.select("key", F.col("rid").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+            near = (one["root_a"] != two["root_b"]) & (one["a"] < two["b"]) & (differing(one["bits_a"], two["bits_b"]) <= DIFFERING)
+            pairs = one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             break

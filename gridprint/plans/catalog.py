@@ -22,6 +22,7 @@ from gridprint.operators import query as qu
 from gridprint.operators import similarity as sim
 from gridprint.operators import vocabulary as vo
 from gridprint.plans import sql as S
+from gridprint.plans.tables import store
 
 GRID = S.GRID
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,7 +401,7 @@ RANK = f"{QFP}, {SPREAD}, size AS (SELECT context_id, count(*) AS nnz FROM dfp G
 def doc_ranking(spark, d):
     """The flagship: benchmark texts rank all documents by spread fingerprints."""
     tcm, prints, idf = two_word(spark, d)
-    prints = prints.persist()
+    prints = store(prints, "phrases")
     documents = fp.accumulate(tcm, prints, "context_id").withColumn("value", r6("value")).where("value <> 0")
     q = qu.fingerprint(qu.weights(vo.matched(query_phrases(spark, d), idf), idf), prints, "none")
     return qu.rank(fp.spread(q, "query_id", GRID), documents, 10)
@@ -696,7 +697,7 @@ def oov_expand(spark, d):
     vocab = vo.vocabulary(p)
     prints = fp.phrase_fingerprints(fp.phrase_counts(p.join(vocab, "phrase", "left_semi"), doc_cells(spark, d)))
     terms = vo.missing(query_phrases(spark, d), vocab).select(F.col("phrase").alias("term")).distinct()
-    return qu.expand_unknown(terms, vocab, prints, GRID)
+    return qu.expand_unknown(terms, store(vocab, "vocabulary"), store(prints, "phrases"), GRID)
 
 
 @query()
@@ -711,4 +712,12 @@ def extract_triples_rules(spark, d):
 
 @query()
 def diversity_sample(spark, d):
-    return fp.diversity(doc_prints(spark, d), "context_id")
+    return fp.diversity(store(doc_prints(spark, d), "documents"), "context_id")
+
+
+@query()
+def query_end_to_end(spark, d):
+    from gridprint.plans.pipeline import Pipeline
+
+    engine = Pipeline(grid=GRID, sizes=(2,))
+    return engine.query(engine.index(docs(spark, d)), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))

@@ -1,10 +1,14 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and code for their Python workers."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -14,3 +18,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/gridprint/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridprint_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(), "gridprint_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(target)
+    sc._gridprint_shipped = True

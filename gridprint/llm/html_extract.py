@@ -298,9 +298,9 @@ def extract(pages: DataFrame) -> DataFrame:
     small = (references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0) <= BROADCAST_BYTES
     paired = with_row_id(rows).join(F.broadcast(references) if small else references, "host", "left").select("rid", "page_id", "url", "host", "html", "reference")
     trees = materialise(paired.mapInArrow(aligned, f"rid long, page_id {ids}, url string, host string, blocks {BLOCKS}"), "blocks")
-    # a page's body counts once, however many copies of it a host has
-    bodies = trees.groupBy("host", F.xxhash64(F.transform("blocks", lambda b: b["sign"])).alias("body")).agg(F.min("rid").alias("rid"))
-    unique = trees.select("rid", F.array_distinct(F.transform(F.filter("blocks", lambda b: b["keep"] & ~b["main"] & (b["node"] >= 0)), lambda b: b["sign"])).alias("signs")).join(bodies.select("rid", "host"), "rid")
+    # a page's body counts once, however many copies of it a host has, whatever navigation stands around them
+    bodies = trees.groupBy("host", F.xxhash64(F.transform(F.filter("blocks", lambda b: b["keep"]), lambda b: b["sign"])).alias("body")).agg(F.min("rid").alias("rid"))
+    unique = trees.select("rid", F.array_distinct(F.transform(F.filter("blocks", lambda b: b["keep"] & (b["node"] >= 0)), lambda b: b["sign"])).alias("signs")).join(bodies.select("rid", "host"), "rid")
     pages_of = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     common = unique.select("host", F.explode("signs").alias("sign")).groupBy("host", "sign").agg(F.count(F.lit(1)).alias("n"))
     constant = common.join(pages_of, "host").where((F.col("n_pages") >= MIN_PAGES) & (F.col("n") >= CONSTANT * F.col("n_pages")))
@@ -308,6 +308,6 @@ def extract(pages: DataFrame) -> DataFrame:
     few = template.agg(F.sum(F.size("template"))).first()[0] or 0
     told = trees.join(F.broadcast(template) if 8 * few <= BROADCAST_BYTES else template, "host", "left")
     has_main = F.exists("blocks", lambda b: b["main"] & b["keep"])
-    content = F.filter("blocks", lambda b: b["keep"] & (b["main"] | ~F.col("has_main")) & (b["main"] | ~F.coalesce(F.array_contains("template", b["sign"]), F.lit(False))))
+    content = F.filter("blocks", lambda b: b["keep"] & (b["main"] | ~F.col("has_main")) & ~F.coalesce(F.array_contains("template", b["sign"]), F.lit(False)))
     text = F.array_join(F.transform(content, lambda b: b["text"]), "\n\n")
     return told.withColumn("has_main", has_main).select("page_id", "url", text.alias("text"), F.size(content).cast("long").alias("n_blocks")).withColumn("n_chars", F.length("text").cast("long"))

@@ -96,6 +96,19 @@ def test_template_is_what_stays_the_same(spark):
     assert got[6][0].startswith("Welcome")  # one page has no template
 
 
+def test_template_goes_inside_an_article_too(spark):
+    def page(i, tag):
+        return f"<body><{tag}><p>Read our new terms</p><h1>Title {i}</h1><p>Story {i * 7}</p><p>Written by the staff</p></{tag}></body>"
+
+    got = texts(spark, [(f"http://{tag}/{i}", page(i, tag)) for tag in ("article", "main") for i in range(6)])
+    assert [got[i][0] for i in range(12)] == [f"Title {i}\n\nStory {i * 7}" for i in [*range(6)] * 2]
+
+
+def test_copies_of_an_article_under_other_menus_are_no_template(spark):
+    got = texts(spark, [(f"http://h/{i}", f"<body><nav>Menu {i}</nav><article><p>The same long story</p><p>and its end</p></article></body>") for i in range(5)])
+    assert all(t == "The same long story\n\nand its end" for t, _ in got.values())
+
+
 def test_copies_of_a_page_are_no_template(spark):
     body = "<div><p>The same long story</p><p>and its end</p></div>"
     got = texts(spark, [(f"http://h/{i}", f"<body>{body}</body>") for i in range(5)])

@@ -1,10 +1,14 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Every host gets a reference page. Each page's DOM tree is aligned with that of
-its reference by simple tree matching, which gives nodes of the page the numbers
-of reference nodes. Counted over all pages of the host, a node whose text is the
-same on most pages belongs to the template, and a node whose text varies is a
-slot of content. Content is what varies inside the article or main element, or
+Every host gets a reference tree, grown from up to SAMPLES distinct pages that are
+drawn by hash: each is aligned with the tree so far, and its unmatched nodes are
+inserted. Each page's DOM tree is aligned with that of its reference by simple
+tree matching, in which nodes with a text that a sampled page has there count
+more; it gives nodes of the page the numbers of reference nodes. Counted over all
+pages of the host, a node whose text is the same on most pages belongs to the
+template, and a node whose text varies is a slot of content. A block that no
+reference node matches is template if its text stands under the same path of
+labels on most pages. Content is what varies inside the article or main element, or
 inside the body if there is none, without the parts whose tags, roles or class
 names say that they are navigation, notices, adverts, forms or comments.
 
@@ -17,6 +21,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +35,9 @@ from gridprint.llm.common import materialise, ship, with_row_id
 
 #: Share of a host's pages that a template text stands on, and pages that it takes.
 CONSTANT, MIN_PAGES = 0.6, 3
-#: Bytes of reference pages up to which they are broadcast; beyond, they are joined.
+#: Pages of a host that its reference is grown from, and nodes that an equal text counts for in tree matching.
+SAMPLES, SAME_TEXT = 8, 3
+#: Bytes of references up to which they are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 
 #: Element names.
@@ -48,10 +55,11 @@ ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "number", "parent", "size", "tag")
+    __slots__ = ("attrs", "children", "label", "number", "parent", "path", "size", "tag", "texts")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children, self.number, self.size = tag, attrs, parent, [], -1, 1
+        self.label, self.path, self.texts = None, 0, frozenset()
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -137,21 +145,25 @@ def elements(node: Node) -> list[Node]:
     return [c for c in node.children if isinstance(c, Node)]
 
 
-def number(root: Node) -> None:
-    """Number nodes in page order and count their subtrees, without recursion."""
+def number(root: Node) -> list[Node]:
+    """Number nodes in page order, hash their paths of labels and count their subtrees, without recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         node.number = len(order)
+        node.path = zlib.crc32(f"/{label(node)}".encode("utf-8", "surrogatepass"), node.parent.path if node.parent else 0)
         order.append(node)
         todo += elements(node)[::-1]
     for node in reversed(order):
         node.size = 1 + sum(c.size for c in elements(node))
+    return order
 
 
 def label(node: Node) -> str:
     """Nodes match if they have the same tag and the same class names."""
-    return node.tag if "class" not in node.attrs else f"{node.tag}.{attributes(node.attrs).get('class', '')}"
+    if node.label is None:
+        node.label = node.tag if "class" not in node.attrs else f"{node.tag}.{attributes(node.attrs).get('class', '')}"
+    return node.label
 
 
 def align(page: Node, reference: Node) -> dict[int, int]:
@@ -179,7 +191,8 @@ def align(page: Node, reference: Node) -> dict[int, int]:
             def weight(i: int, j: int) -> int:
                 if lx[i] != ly[j]:
                     return 0
-                return memo[xs[i].number, ys[j].number][0] if xs[i].size > 1 and ys[j].size > 1 else 1
+                same = 0 if xs[i].texts.isdisjoint(ys[j].texts) else SAME_TEXT
+                return same + (memo[xs[i].number, ys[j].number][0] if xs[i].size > 1 and ys[j].size > 1 else 1)
 
             rows = [[0] * (len(ys) + 1)]
             for i in range(len(xs)):
@@ -208,6 +221,49 @@ def align(page: Node, reference: Node) -> dict[int, int]:
     return out
 
 
+def grow(reference: Node, page: Node) -> None:
+    """Add a page's texts to the nodes that it matches, and the nodes that match nothing to the tree."""
+    matched = align(page, reference)
+    at = {n.number: n for n in number(reference)}
+    todo = [(page, reference)]
+    while todo:
+        a, b = todo.pop()
+        b.texts = b.texts | a.texts
+        after = 0  # children keep their order
+        for child in elements(a):
+            if child.number in matched:
+                twin = at[matched[child.number]]
+                after = b.children.index(twin) + 1
+                todo.append((child, twin))
+            else:
+                b.children.insert(after, child)
+                child.parent = b
+                after += 1
+    number(reference)
+
+
+def dumped(root: Node) -> str:
+    """Labels, parents and hashes of texts of a numbered tree."""
+    order = number(root)
+    return json.dumps([[label(n) for n in order], [n.parent.number if n.parent else -1 for n in order], [sorted(n.texts) for n in order]], separators=(",", ":"))
+
+
+def loaded(reference: str | None) -> Node:
+    root = Node("#root", "", None)
+    if reference:
+        labels, parents, texts = json.loads(reference)
+        order = [root]
+        for name, parent in zip(labels[1:], parents[1:], strict=True):
+            node = Node(name.split(".", 1)[0], "", order[parent])
+            node.label = name
+            order[parent].children.append(node)
+            order.append(node)
+        for node, own in zip(order, texts, strict=True):
+            node.texts = frozenset(own)
+    number(root)
+    return root
+
+
 SPACE = re.compile(r"\s+")
 
 
@@ -260,13 +316,37 @@ def _signature(node: int, text: str) -> int:
     return (zlib.crc32(data) << 31 ^ zlib.adler32(data) ^ node * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF
 
 
-BLOCKS = "array<struct<node: long, sign: long, keep: boolean, main: boolean, text: string>>"
+BLOCKS = "array<struct<node: long, sign: long, path: long, keep: boolean, main: boolean, text: string>>"
+
+
+def read(html: str | None) -> tuple[Node, list[Node], list[tuple[int, bool, bool, int, str]]]:
+    """A page's numbered tree with the hashes of its texts, its nodes and its blocks."""
+    tree = parse(html)
+    order, found = number(tree), blocks(tree)
+    own: dict[int, set[int]] = {}
+    for node, _, _, _, text in found:
+        own.setdefault(node, set()).add(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    for node, hashes in own.items():
+        order[node].texts = frozenset(hashes)
+    return tree, order, found
+
+
+def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, samples) -> (host, reference)."""
+    for batch in batches:
+        out = []
+        for samples in batch.column(1):
+            tree = loaded(None)
+            for html in samples.as_py():
+                grow(tree, read(html)[0])
+            out.append(dumped(tree))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "reference"])
 
 
 def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, page_id, url, host, html, reference) -> (rid, page_id, url, host, blocks)."""
     trees: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("sign", pa.int64()), ("keep", pa.bool_()), ("main", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("sign", pa.int64()), ("path", pa.int64()), ("keep", pa.bool_()), ("main", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
         out = []
         html, reference = batch.column(4), batch.column(5)
@@ -275,15 +355,13 @@ def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if model not in trees:
                 if len(trees) > 200:
                     trees.clear()
-                trees[model] = parse(model)
-                number(trees[model])
-            tree = parse(html[i].as_py())
-            number(tree)
+                trees[model] = loaded(model)
+            tree, order, found = read(html[i].as_py())
             matched = align(tree, trees[model])
             rows = []
-            for node, bad, inside, linked, text in blocks(tree):
-                to = matched.get(node, -1)
-                rows.append({"node": to, "sign": _signature(to, text), "keep": not bad and (inside or 2 * linked <= len(text)), "main": inside, "text": text})
+            for node, bad, inside, linked, text in found:
+                to, path = matched.get(node, -1), _signature(~order[node].path, text)  # numbers of nodes aren't negative
+                rows.append({"node": to, "sign": path if to < 0 else _signature(to, text), "path": path, "keep": not bad and (inside or 2 * linked <= len(text)), "main": inside, "text": text})
             out.append(rows)
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(out, kind)], ["rid", "page_id", "url", "host", "blocks"])
 
@@ -293,18 +371,21 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     ids = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", "html").withColumn("host", host())
-    references = rows.where("html is not null").groupBy("host").agg(F.min(F.struct("page_id", "html")).alias("r")).select("host", F.col("r.html").alias("reference"))
-    references = materialise(references, "references")
+    # one page of each part of a host's distinct pages that have something
+    sampled = rows.where("trim(html) <> ''").groupBy("host", F.pmod(F.xxhash64("html"), F.lit(SAMPLES)).alias("part")).agg(F.min(F.struct(F.xxhash64("html", F.lit(1)).alias("h"), "html")).alias("r"))
+    samples = sampled.groupBy("host").agg(F.sort_array(F.collect_list("r")).alias("rs")).select("host", F.col("rs.html").alias("samples"))
+    references = materialise(samples.mapInArrow(grown, "host string, reference string"), "references")
     small = (references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0) <= BROADCAST_BYTES
     paired = with_row_id(rows).join(F.broadcast(references) if small else references, "host", "left").select("rid", "page_id", "url", "host", "html", "reference")
     trees = materialise(paired.mapInArrow(aligned, f"rid long, page_id {ids}, url string, host string, blocks {BLOCKS}"), "blocks")
     # a page's body counts once, however many copies of it a host has, whatever navigation stands around them
-    bodies = trees.groupBy("host", F.xxhash64(F.transform(F.filter("blocks", lambda b: b["keep"]), lambda b: b["sign"])).alias("body")).agg(F.min("rid").alias("rid"))
-    unique = trees.select("rid", F.array_distinct(F.transform(F.filter("blocks", lambda b: b["keep"] & (b["node"] >= 0)), lambda b: b["sign"])).alias("signs")).join(bodies.select("rid", "host"), "rid")
+    bodies = trees.groupBy("host", F.xxhash64(F.transform(F.filter("blocks", lambda b: b["keep"]), lambda b: b["path"])).alias("body")).agg(F.min("rid").alias("rid"))
+    kept = F.filter("blocks", lambda b: b["keep"])
+    unique = trees.select("rid", F.array_union(F.transform(kept, lambda b: b["sign"]), F.transform(kept, lambda b: b["path"])).alias("signs")).join(bodies.select("rid", "host"), "rid")
     pages_of = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     common = unique.select("host", F.explode("signs").alias("sign")).groupBy("host", "sign").agg(F.count(F.lit(1)).alias("n"))
     constant = common.join(pages_of, "host").where((F.col("n_pages") >= MIN_PAGES) & (F.col("n") >= CONSTANT * F.col("n_pages")))
-    template = materialise(constant.groupBy("host").agg(F.collect_set("sign").alias("template")), "templates")  # at most 1 / CONSTANT times a page's blocks
+    template = materialise(constant.groupBy("host").agg(F.collect_set("sign").alias("template")), "templates")  # at most 2 / CONSTANT times a page's blocks
     few = template.agg(F.sum(F.size("template"))).first()[0] or 0
     told = trees.join(F.broadcast(template) if 8 * few <= BROADCAST_BYTES else template, "host", "left")
     has_main = F.exists("blocks", lambda b: b["main"] & b["keep"])

@@ -104,6 +104,28 @@ def test_template_goes_inside_an_article_too(spark):
     assert [got[i][0] for i in range(12)] == [f"Title {i}\n\nStory {i * 7}" for i in [*range(6)] * 2]
 
 
+def test_template_of_a_host_whose_first_page_is_unusual(spark):
+    def page(i):
+        notice = "<p>Our office is closed on Monday</p>" if i % 4 else ""
+        return f"<body><div>{notice}{''.join(f'<p>Story {i} part {k}</p>' for k in range(1 + i % 3))}</div></body>"
+
+    odd = {"empty": "", "blank": " \n", "error": "<center>502 Bad Gateway</center>", "bare": "<body><div><p>An old page</p><p>of two parts</p></div></body>"}
+    rows = [(f"http://{h}/{i}", odd[h] if i == 0 else page(i)) for h in odd for i in range(24)]
+    for i, (text, _) in texts(spark, rows).items():
+        if i % 24:
+            assert text == "\n\n".join(f"Story {i % 24} part {k}" for k in range(1 + i % 24 % 3))
+
+
+def test_reference_grows_by_what_it_lacks():
+    trees = [html_extract.read(h)[0] for h in ("<div><p>a</p></div>", "<div><h1>t</h1><p>b</p></div><ul><li>x</ul>")]
+    tree = html_extract.loaded(None)
+    for t in trees:
+        html_extract.grow(tree, t)
+    again = html_extract.loaded(html_extract.dumped(tree))
+    assert [n.label for n in html_extract.number(again)] == ["#root", "div", "h1", "p", "ul", "li"]
+    assert [len(n.texts) for n in html_extract.number(again)] == [0, 0, 1, 2, 0, 1]
+
+
 def test_copies_of_an_article_under_other_menus_are_no_template(spark):
     got = texts(spark, [(f"http://h/{i}", f"<body><nav>Menu {i}</nav><article><p>The same long story</p><p>and its end</p></article></body>") for i in range(5)])
     assert all(t == "The same long story\n\nand its end" for t, _ in got.values())

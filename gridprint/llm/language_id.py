@@ -1,10 +1,11 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Counting runs over every learning row: each task counts character n-grams of
-the highest order with numpy and one aggregation sums them per language. The
-driver derives all lower orders (continuation counts) from that table, whose
-size is bounded by max_grams, and broadcasts sorted key arrays with their
-discounted probabilities. Scoring looks every distinct n-gram of a block up by
+the highest order with numpy and one aggregation sums them per language. Further
+aggregations derive the lower orders (continuation counts), and tasks that hold
+whole histories turn counts to discounted probabilities. All n-grams are kept: the
+driver passes chunks of sorted arrays on to files, which every executor fetches and
+workers map, so no process holds the tables. Scoring looks every distinct n-gram of a block up by
 binary search and sums log probabilities per document; the language with the
 lowest cross-entropy a character wins.
 
@@ -21,18 +22,25 @@ doc_id are scored but not learned from; if nothing was learned, every row is
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import ship
+from gridprint.llm.common import materialise, ship
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_GRAMS = 2_000_000
+#: N-grams that a chunk of a stored array has about.
+CHUNK = 100_000
 BLOCK = 1_000_000
 Z, SLACK = 8.0, 1.0
 UNKNOWN = "und"
@@ -169,6 +177,13 @@ class KneserNey:
             keys, counts = np.unique(shorter, return_counts=True)  # in how many histories an n-gram stands
         self.uniform = 1.0 / (len(self.levels[-1][0]) + 1)
 
+    @classmethod
+    def of(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> KneserNey:
+        """From levels that are ready."""
+        out = cls.__new__(cls)
+        out.levels, out.uniform = levels, 1.0 / (len(levels[-1][0]) + 1)
+        return out
+
     def probability(self, grams: np.ndarray) -> np.ndarray:
         p, factor = np.zeros(len(grams)), np.ones(len(grams))
         for depth, (keys, share, past, weight) in enumerate(self.levels):
@@ -223,14 +238,124 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(learn: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from rows (lang, text). max_grams bounds the n-grams that are kept, most frequent first."""
-    ship(learn.sparkSession)
+PARTS = (("keys", np.uint64), ("share", np.float64), ("past", np.uint64), ("weight", np.float64))
+
+
+def discounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (lang, level, history, gram, n), whole histories -> (lang, level, keys, share, past, weight), arrays as bytes."""
+
+    def chunks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lang = rows.column(0).to_numpy()
+        level, history, gram, n = (rows.column(k).to_numpy() for k in range(1, 5))
+        cuts = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (level[1:] != level[:-1]), [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            past, index = np.unique(history[a:b].view(np.uint64), return_inverse=True)
+            counts = n[a:b].astype(np.float64)
+            total = np.bincount(index, counts)
+            parts = gram[a:b].view(np.uint64), np.maximum(counts - DISCOUNT, 0) / total[index], past, DISCOUNT * np.bincount(index) / total
+            yield pa.RecordBatch.from_arrays([pa.array([lang[a]]), pa.array([level[a]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["lang", "level", *(k for k, _ in PARTS)])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < CHUNK:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lang, level, history = (rows.column(k).to_numpy() for k in range(3))
+        last = np.flatnonzero((lang != lang[-1]) | (level != level[-1]) | (history != history[-1]))
+        until = int(last[-1]) + 1 if len(last) else 0
+        if until:
+            yield from chunks(rows.slice(0, until))
+        held = rows.slice(until).combine_chunks().to_batches()
+    if any(x.num_rows for x in held):
+        yield from chunks(pa.Table.from_batches(held).combine_chunks())
+
+
+class Stored:
+    """The levels of all languages in four files that Spark brings to every executor; index has the ranges of (lang, level) in n-grams and in histories."""
+
+    def __init__(self, levels: DataFrame):
+        folder, name = tempfile.mkdtemp(), f"ngrams-{uuid.uuid4().hex[:12]}"
+        self.names = {k: f"{name}.{k}" for k, _ in PARTS}
+        self.index: dict[tuple[str, int], list[int]] = {}
+        done, before = [0, 0], None
+        files = {k: open(os.path.join(folder, x), "wb") for k, x in self.names.items()}
+        for row in levels.toLocalIterator():
+            at = row["lang"], row["level"], int.from_bytes(row["past"][:8], "little")
+            if before is not None and at <= before:
+                raise RuntimeError("n-grams came out of order")
+            before = at
+            for k, f in files.items():
+                f.write(row[k])
+            own = self.index.setdefault(at[:2], [done[0], done[0], done[1], done[1]])
+            done[0] += len(row["keys"]) // 8
+            done[1] += len(row["past"]) // 8
+            own[1], own[3] = done
+        for f in files.values():
+            f.close()
+        if self.index:
+            for x in self.names.values():
+                levels.sparkSession.sparkContext.addFile(os.path.join(folder, x))
+        atexit.register(shutil.rmtree, folder, True)  # executors that start later fetch them too
+
+    def models(self) -> dict[str, KneserNey]:
+        """By language, over mapped files."""
+        if not self.index:
+            return {}
+        whole = {k: np.memmap(SparkFiles.get(self.names[k]), kind, "r") for k, kind in PARTS}
+
+        def level(lang: str, order: int):
+            a, b, c, d = self.index[lang, order]
+            return whole["keys"][a:b], whole["share"][a:b], whole["past"][c:d], whole["weight"][c:d]
+
+        return {x: KneserNey.of([level(x, order) for order in range(ORDER, 0, -1)]) for x in sorted({x for x, _ in self.index})}
+
+
+class StoredModel(Model):
+    """A model whose tables are mapped where it is used."""
+
+    def __init__(self, stored: Stored, langs: list[str], spread: np.ndarray):
+        self.stored, self.langs, self.spread = stored, langs, spread
+
+    def __getattr__(self, name: str):
+        if name != "models":
+            raise AttributeError(name)
+        self.models = list(self.stored.models().values())
+        return self.models
+
+    def __reduce__(self):
+        return StoredModel, (self.stored, self.langs, self.spread)
+
+
+def fit(learn: DataFrame) -> Model:
+    """Learn from rows (lang, text); all n-grams are kept."""
+    spark = learn.sparkSession
+    ship(spark)
     counts = learn.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    lang = np.array(got.column("lang").to_pylist(), object)
-    keys, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    return Model({x: (keys[lang == x], n[lang == x]) for x in sorted(set(lang))})
+    counts = materialise(counts, "ngrams")
+    table, every = counts, []
+    for order in range(ORDER, 0, -1):
+        every.append(table.select("lang", F.lit(order).alias("level"), F.shiftrightunsigned("gram", 16).alias("history"), "gram", "n"))
+        # in how many histories a shorter n-gram stands
+        table = table.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    rows = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    # a history has at most 65,536 n-grams; low 16 bits order them as unsigned numbers
+    sorted_rows = rows.repartitionByRange("lang", "level", "history").sortWithinPartitions("lang", "level", "history", F.col("gram").bitwiseAND(F.lit(0xFFFF)))
+    stored = Stored(sorted_rows.mapInArrow(discounted, "lang string, level int, keys binary, share binary, past binary, weight binary"))
+
+    def surprisals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = stored.models()
+        for batch in batches:
+            lang, keys, n = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.float64)
+            for x in sorted(set(lang)):
+                own = lang == x
+                bits = -np.log2(models[x].probability(keys[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([x]), *(pa.array([float(v.sum())]) for v in (n[own], n[own] * bits, n[own] * bits**2))], ["lang", "n", "s1", "s2"])
+
+    sums = counts.mapInArrow(surprisals, "lang string, n double, s1 double, s2 double").groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("n", "s1", "s2"))).collect()
+    spread = {r["lang"]: (r["s1"] / r["n"], np.sqrt(max(0.0, r["s2"] / r["n"] - (r["s1"] / r["n"]) ** 2))) for r in sums}
+    langs = sorted(spread)
+    return StoredModel(stored, langs, np.array([spread[x] for x in langs]).reshape(-1, 2))
 
 
 def predict(docs: DataFrame, model: Model, z: float = Z, slack: float = SLACK) -> DataFrame:

@@ -96,6 +96,36 @@ def test_language_blocks_agree(monkeypatch):
     assert whole[3].tolist() == [True, True, False, False, False]
 
 
+def test_language_keeps_all_ngrams(spark, monkeypatch):
+    import numpy as np
+
+    texts = {"de": "die katze und der hund " * 40, "zh": "".join(chr(0x4E00 + i * 7919 % 50_000) for i in range(3000)), "fr": "le chat et la souris " * 40, "z\u00e9": "ab"}
+    table = {}
+    for lang, t in texts.items():
+        cp, _, use, _ = next(language_id.blocks([t]))
+        code, present, k = language_id.gram_codes(cp, use)
+        found, n, _ = language_id.distinct(code, k)
+        table[lang] = (language_id.packed(found, present, k), n)
+    want = language_id.Model(table)
+    monkeypatch.setattr(language_id, "CHUNK", 50)  # many chunks
+    got = language_id.fit(spark.createDataFrame(list(texts.items()), "lang string, text string"))
+    assert got.langs == want.langs and np.allclose(got.spread, want.spread, atol=1e-6)
+    for a, b in zip(got.models, want.models, strict=True):
+        assert a.uniform == b.uniform
+        assert all(np.array_equal(x, y) for p, q in zip(a.levels, b.levels, strict=True) for x, y in zip(p, q, strict=True))
+
+
+def test_language_rare_ones_stay_beside_millions_of_ngrams(spark):
+    import random
+
+    rng = random.Random(3)
+    many = "".join(map(chr, rng.choices(range(0x4E00, 0x9FA0), k=2_100_000)))
+    got = language_id.fit(spark.createDataFrame([("aa", many), ("zz", "ab cd")], "lang string, text string"))
+    assert got.langs == ["aa", "zz"]
+    assert len(got.models[0].levels[0][0]) > 2_000_000 and len(got.models[1].levels[0][0]) == 6
+    assert got.score(["cd ab", many[:50]])[0] == ["zz", "aa"]
+
+
 def test_language_odd_rows(spark):
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(frame(spark, ODD)).collect()}
     assert (1, "und") in got and (2, "und") in got and (None, "en") in got

@@ -3,10 +3,10 @@
 The base patterns label credentials: assigned values, access keys, hex strings.
 From a bounded sample of each kind a prefix tree is built and its statistically
 compatible states are merged (Hoeffding bound on the end and transition rates,
-in the red-blue order), which gives one probabilistic automaton a kind. All long
-credential-like tokens of all texts are then scored: the likelihood of their
-format under the best automaton against a character model of ordinary long
-tokens; those that the automaton explains better by `margin` nats a character
+in the red-blue order), which gives one probabilistic automaton a kind. All tokens
+of all texts that have the alphabet of credentials, dots included, and the length
+of the shortest labelled ones are then scored: the likelihood of their format under
+the best automaton against a character model of ordinary tokens; those that the automaton explains better by `margin` nats a character
 become spans too.
 
 Defined cases: null text counts as empty; whole texts are scanned; repeated
@@ -31,11 +31,16 @@ from gridprint.llm.common import ship
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run; shorter ones fail
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates: the alphabet and the least length of assigned values.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 KINDS = ("assign", "access", "hex")
-#: Labelled credentials of a kind, and ordinary tokens, that the automata and the character model are fitted on.
+#: Ordinary tokens: from LONG characters on, and shorter ones, which are far more and would leave the long ones no place in a sample.
+ORDINARY, LONG = ("long", "short"), 16
+#: Labelled credentials of a kind, and ordinary tokens of a class, that the automata and the character model are fitted on.
 SAMPLE = 400
 ALPHA, MARGIN = 0.05, 0.8
+#: Scores that a worker remembers, and characters of the longest tokens that they are of.
+MEMO, MEMO_CHARS = 100_000, 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -149,7 +154,7 @@ class Automaton:
 
 
 class Plain:
-    """Character bigrams of ordinary long tokens; without any, every character is equally likely."""
+    """Character bigrams of ordinary tokens; without any, every character is equally likely."""
 
     def __init__(self, words: list[str]):
         self.pair: dict[str, int] = {}
@@ -160,13 +165,14 @@ class Plain:
                 self.one[a] = self.one.get(a, 0) + 1
 
     def log_likelihood(self, word: str) -> float:
-        return sum(math.log((self.pair.get(a + b, 0) + 0.5) / (self.one.get(a, 0) + 0.5 * 66)) for a, b in zip("^" + word, word, strict=False))
+        return sum(math.log((self.pair.get(a + b, 0) + 0.5) / (self.one.get(a, 0) + 0.5 * 67)) for a, b in zip("^" + word, word, strict=False))
 
 
 class Grammar:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = MARGIN):
         self.automata = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
         self.plain, self.margin = Plain(ordinary), margin
+        self.seen: dict[str, tuple[str, float]] = {}
 
     def score(self, word: str) -> tuple[str, float]:
         """(best kind, nats a character that it explains better than the character model); ('', -inf) without automata."""
@@ -175,6 +181,17 @@ class Grammar:
         other = self.plain.log_likelihood(word)
         return max(((k, (a.log_likelihood(word) - other) / len(word)) for k, a in self.automata.items()), key=lambda x: (x[1], x[0]))
 
+    def remembered(self, word: str) -> tuple[str, float]:
+        """score() of a word; ordinary words come again and again."""
+        if len(word) > MEMO_CHARS:
+            return self.score(word)
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) >= MEMO:
+                self.seen.clear()
+            got = self.seen[word] = self.score(word)
+        return got
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int, float]]:
         """(start, kind, end, score) of tokens that no base span touches."""
         out, at = [], 0
@@ -182,9 +199,12 @@ class Grammar:
             a, b = m.span()
             while at < len(base) and base[at][2] <= a:
                 at += 1
-            if any(x[0] < b and a < x[2] for x in base[at:]):
+            k = at
+            while k < len(base) and base[k][0] < b and base[k][2] <= a:
+                k += 1
+            if k < len(base) and base[k][0] < b:
                 continue
-            kind, score = self.score(m[0])
+            kind, score = self.remembered(m[0])
             if score >= self.margin:
                 out.append((a, f"format_{kind}", b, score))
         return out
@@ -204,14 +224,14 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while at < len(base) and base[at][2] <= m.start():
                     at += 1
                 if not any(x[0] < m.end() and m.start() < x[2] for x in base[at : at + 3]):
-                    rows.append(("", m[0][:256]))
+                    rows.append((ORDINARY[len(m[0]) < LONG], m[0][:256]))
         rows = [(k, v, hashlib.md5(v.encode()).hexdigest()) for k, v in dict.fromkeys(rows)]
-        keep = [r for kind in ("", *KINDS) for r in sorted((r for r in rows if r[0] == kind), key=lambda r: r[2])[: SAMPLE]]
+        keep = [r for kind in (*ORDINARY, *KINDS) for r in sorted((r for r in rows if r[0] == kind), key=lambda r: r[2])[: SAMPLE]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in keep], pa.string()) for i in range(3)], ["kind", "value", "key"])
 
 
 def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Fit the automata on at most `sample` distinct credentials of each kind, drawn by hash from all rows."""
+    """Fit the automata on at most `sample` distinct credentials of each kind and ordinary tokens of each class, drawn by hash from all rows."""
     ship(docs.sparkSession)
     found = docs.select("text").mapInArrow(labelled, "kind string, value string, key string").groupBy("kind", "value", "key").agg(F.count(F.lit(1)).alias("n"))
     # a top-k report: first in 64 parts of each kind, so that what meets in one place is bounded
@@ -221,7 +241,7 @@ def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
     by: dict[str, list[str]] = {}
     for r in rows:
         by.setdefault(r["kind"], []).append(r["value"])
-    return Grammar({k: sorted(by.get(k, [])) for k in KINDS}, sorted(by.get("", [])))
+    return Grammar({k: sorted(by.get(k, [])) for k in KINDS}, sorted(w for k in ORDINARY for w in by.get(k, [])))
 
 
 def scan(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:

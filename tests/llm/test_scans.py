@@ -167,6 +167,34 @@ def test_secret_formats():
     assert len(g.automata["hex"].states) < 400
 
 
+def test_secret_candidates_are_short_and_dotted_too(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def key(sizes):
+        return ".".join("".join(rng.choice("BDFGKMQXZ0123456") for _ in range(k)) for k in sizes)
+
+    def prose():
+        return " ".join("".join(rng.choice(["the", "ing", "on", "ha", "er", "tion"]) for _ in range(5)) + rng.choice(["", "."]) for _ in range(6))
+
+    shapes = [(8,), (12,), (15,), (6, 6), (10, 12), (20, 20)]
+    rows = [(i, f"{prose()} token={key(shapes[i % len(shapes)])} {prose()}") for i in range(300)]
+    planted = [key(x) for x in shapes for _ in range(2)]
+    grammar = secrets.infer(frame(spark, rows))
+    rows += [(1000 + i, f"A {k} {prose()}") for i, k in enumerate(planted)]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark, rows), grammar).collect()}
+    assert [spans[1000 + i] for i in range(len(planted))] == [f"format_assign:2:{2 + len(k)}" for k in planted]
+    assert all("format" not in spans[i] for i in range(300))
+
+
+def test_secret_spans_keep_off_base_spans():
+    g = secrets.Grammar({"assign": ["ABCD1234"] * 50}, ["consider"] * 50)
+    text = "token=ABCD1234 ABCD1234 AKIA" + "A" * 16 + " ABCD1234"
+    base = secrets.base_spans(text)
+    assert [(a, b) for a, _, b, _ in g.spans(text, base)] == [(15, 23), (45, 53)]
+
+
 def test_secret_odd_rows(spark):
     assert secrets.scan(frame(spark, ODD)).count() == len(ODD)
     assert secrets.scan(frame(spark, [])).count() == 0

@@ -209,8 +209,8 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
             near = (one["root_a"] != two["root_b"]) & (one["a"] < two["b"]) & (differing(one["bits_a"], two["bits_b"]) <= DIFFERING)
             pairs = one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # groups of one root each offer nothing, though their bucket may have other ones
+            continue
         edges = materialise(confirm(pairs, texts), "links")
         if not edges.isEmpty():
             merge(edges)

@@ -83,6 +83,14 @@ def brute_components(rows):
     return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)]
 
 
+def test_near_links_that_no_hub_round_offers(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARING", 1e-6)  # every member is alone in its group
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "some other text of more than five words")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.linked(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def check_near(rows, got):
     null = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(map(null, brute_components(rows))) == sorted(null((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got)

@@ -11,11 +11,18 @@ goes on. Sketches are cut into bands; buckets of a band propose links. In a hub
 round a bucket falls into small random groups and members are tested against
 their groups' hubs; links are confirmed on the full sets, and representatives
 that are already connected are not paired again. After the hub rounds, pairs of
-one bucket that are still in different components are all tested, unless their
-sketches rule them out, so no link that the bands propose is lost while a bucket
-of copies never emits all its pairs. With 32 bands of 4, a pair at 0.75
-shares no band with probability 5e-6; pairs that are more alike, or are linked
-through others, less.
+one bucket that are still in different components are settled without emitting
+them all, and without losing one: buckets that share members make a family, and
+a member is told by its difference from the shingles that most of its family
+have. Sets x and y are similar if their differences differ in (|x| + |y|) / 7
+shingles at most: with d = |x ^ y| and s = |x| + |y|, similarity is (s - d) / (s + d). Members whose differences are small enough together are linked
+whatever these are, so one of the smallest stands for them. Other links need
+|Dx & Dy| >= need = ceil((|Dx| + |Dy| - s // 7) / 2), so that an element common to
+both differences is among the first |D| - need + 1 of each in any common order (the
+prefix filter of exact similarity joins); the rarest come first. The largest
+component of a family, whose members are connected already, meets only the others.
+With 32 bands of 4, a pair at 0.75 shares no band with probability 5e-6; pairs
+that are more alike, or are linked through others, less.
 
 Defined cases: null or wordless text has an empty set and is linked with
 nothing; fewer than five words make one shingle; component_id is the smallest
@@ -30,20 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import materialise, ship, with_row_id
+from gridprint.llm.common import by_size, materialise, ship, with_row_id
 from gridprint.llm.hashing import U, mix, shingles
 
-#: Coordinates of a sketch; bands, and rows of a band, that are cut from the first ones.
-T, BANDS, ROWS = 256, 32, 4
+#: Coordinates of a sketch; bands, and rows of a band, that it is cut into.
+T, BANDS, ROWS = 128, 32, 4
 #: Rounds, members that share a hub in a round, and hubs that a member is tested against in one.
-HUB_ROUNDS, SHARING, PARTNERS = 2, 5, 4
+HUB_ROUNDS, SHARING, PARTNERS = 1, 5, 4
 SIMILAR = 75
-#: Coordinates, of which four bits are kept, that may differ in a pair of the last step: at a similarity of 0.75 a fraction
-#: 0.234 differs on average, and this is 4.5 standard deviations more, which a pair exceeds with probability 4e-6.
-DIFFERING = 90
 _SALTS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -51,7 +55,7 @@ _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 def sketch(h: np.ndarray, t: int = T) -> np.ndarray:
     """Fast similarity sketch of a non-empty array of distinct hashes: (round, value) packed, per bin."""
     out = np.full(t, _EMPTY, U)
-    step, at = max(1, -(-2 * t // len(h))), 0
+    step, at = max(1, -(-8 * t // len(h))), 0  # as many rounds at once as mostly fill all bins
     while at < 2 * t:
         until = min(at + step, t if at < t else 2 * t)
         rounds = np.arange(at, until)
@@ -74,43 +78,23 @@ def bands(s: np.ndarray, rows: int = ROWS, n: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def nibbles(s: np.ndarray) -> np.ndarray:
-    """Four bits of every coordinate, sixteen coordinates to a number."""
-    low = (mix(s) & U(15)).reshape(-1, 16) << (np.arange(16, dtype=U) * U(4))
-    return np.bitwise_or.reduce(low, axis=1).view(np.int64)
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Coordinates whose four bits differ, of two arrays of nibbles()."""
-    ones = F.lit(0x1111111111111111).cast("long")
-    total = F.lit(0)
-    for k in range(T // 16):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseAND(ones))
-    return total
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, text, n_shingles, k1, k2, bands, bits); k1 and k2 are a 128-bit key of the set."""
+    """(doc_id, text) -> (doc_id, text, n_shingles, k1, k2, bands); k1 and k2 are a 128-bit key of the set."""
     none = np.zeros(0, np.int64)
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else none))
-
     for batch in batches:
-        n, keys, out, bits = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            h = shingles(text)
-            n.append(len(h))
-            keys.append((int(mix(h + U(1)).sum(dtype=U).view(np.int64)), int(mix(h + U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64))))
-            own = sketch(h) if len(h) else none
-            out.append(bands(own) if len(h) else none)
-            bits.append(nibbles(own) if len(h) else none)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), lists(out), lists(bits)],
-            ["doc_id", "text", "n_shingles", "k1", "k2", "bands", "bits"],
-        )
+        for part in by_size(batch, 1, 4 << 20):
+            n, keys, out = [], [], []
+            for text in part.column(1):
+                h = shingles(text.as_py())
+                n.append(len(h))
+                keys.append((int(mix(h + U(1)).sum(dtype=U).view(np.int64)), int(mix(h + U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64))))
+                out.append(bands(sketch(h)) if len(h) else none)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), _lists(out)], ["doc_id", "text", "n_shingles", "k1", "k2", "bands"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +114,27 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, rid, text) -> (family, rid, n, h): the sorted set of each member."""
+    for batch in batches:
+        for part in by_size(batch, 2, 4 << 20):
+            sets = [shingles(t.as_py()) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(h) for h in sets], pa.int64()), _lists(sets)], ["family", "rid", "n", "h"])
+
+
+def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, rid, n, h, base) -> (family, rid, n, more, less): what a member has beyond the family's base and what it lacks of it."""
+    for batch in batches:
+        more, less = [], []
+        for i in range(batch.num_rows):
+            h = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+            base = batch.column(4)[i]
+            base = base.values.to_numpy(zero_copy_only=False) if base.is_valid else h[:0]
+            more.append(np.setdiff1d(h, base, assume_unique=True))
+            less.append(np.setdiff1d(base, h, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), _lists(more), _lists(less)], ["family", "rid", "n", "more", "less"])
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar. The text of b travels; a, the hub, may be in any number of pairs."""
     with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -157,12 +162,54 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def differences(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the members of live buckets (key, rid): (family, rid, n, d) with the sizes of set and difference, and the prefixes (family, rid, n, d, s, at) of the differences."""
+    first = live.groupBy("key").agg(F.min("rid").alias("v"))
+    families = components(live.join(first, "key").select(F.col("rid").alias("u"), "v"))
+    members = live.select("rid").distinct().join(families, F.col("rid") == F.col("node"), "left").select(F.coalesce("root", "rid").alias("family"), "rid")
+    members = materialise(members.join(texts, "rid").select("family", "rid", "text").mapInArrow(shingled, "family long, rid long, n long, h array<long>"), "members")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    counts = materialise(members.select("family", F.explode("h").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "elements")
+    # shingles that most members have: at most twice as many as a member has on average
+    common = materialise(counts.join(sizes, "family").where("2 * f > size").select("family", "s", (F.col("size") - F.col("f")).alias("f")), "common")
+    base = common.groupBy("family").agg(F.sort_array(F.collect_list("s")).alias("base"))
+    apart = members.join(base, "family", "left").select("family", "rid", "n", "h", "base").mapInArrow(differing, "family long, rid long, n long, more array<long>, less array<long>")
+    apart = materialise(apart, "differences")
+    told = apart.select("family", "rid", "n", (F.size("more") + F.size("less")).cast("long").alias("d"))
+    # elements that another member's difference has too, with their frequency among differences; those of one member come before them
+    rare = counts.join(common.select("family", "s"), ["family", "s"], "left_anti").unionByName(common.where("f > 1"))
+    shared = apart.select("family", "rid", F.explode(F.concat("more", "less")).alias("s")).join(rare, ["family", "s"]).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared"))
+    at = told.join(shared, "rid").select("*", F.posexplode("shared").alias("i", "e")).select("family", "rid", "n", "d", F.col("e.s").alias("s"), (F.col("d") - F.size("shared") + F.col("i")).alias("at"))
+    return told, materialise(at.where(3 * F.col("at") <= F.col("n")), "prefixes")  # partners have at most a third more shingles
+
+
+def linked_by_size(told: DataFrame) -> DataFrame:
+    """Edges (a, b): a member and the one of its family whose difference is smallest for its size, if their sizes alone make them similar; any two that their sizes make similar are connected by these."""
+    own = 7 * F.col("d") - F.col("n")
+    least = told.groupBy("family").agg(F.min(F.struct(own.alias("w"), "rid")).alias("m"))
+    return told.join(least, "family").where((own + F.col("m.w") <= 0) & (F.col("rid") != F.col("m.rid"))).select(F.least("rid", "m.rid").alias("a"), F.greatest("rid", "m.rid").alias("b"))
+
+
+def sharing_elements(told: DataFrame, at: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that sizes alone don't make similar, and whose prefixes share an element."""
+    names = roots.select(F.col("node").alias("rid"), "root")
+    own = told.join(names, "rid", "left").select("family", "rid", F.coalesce("root", "rid").alias("root"))
+    main = own.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "root")).alias("m")).select("family", F.col("m.root").alias("main"))
+    own = materialise(own.join(main, "family").select("rid", "root", (F.col("root") != F.col("main")).alias("far")), "apart")
+    at = at.join(own, "rid")
+    one = at.where("far").select("family", "s", *[F.col(c).alias(f"{c}_x") for c in ("rid", "root", "n", "d", "at")])
+    two = at.select("family", "s", *[F.col(c).alias(f"{c}_y") for c in ("rid", "root", "n", "d", "at", "far")])
+    need = F.ceil((F.col("d_x") + F.col("d_y") - F.floor((F.col("n_x") + F.col("n_y")) / 7)) / 2)
+    fits = (F.col("root_x") != F.col("root_y")) & (need >= 1) & (F.col("at_x") <= F.col("d_x") - need) & (F.col("at_y") <= F.col("d_y") - need) & (~F.col("far_y") | (F.col("rid_x") < F.col("rid_y")))
+    return one.join(two, (one["family"] == two["family"]) & (one["s"] == two["s"]) & fits).select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id of the rows with the same set)."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sketched, f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>")), "sketches")
+    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sketched, f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")), "sketches")
     key = ["k1", "k2", "n_shingles"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "classes")
@@ -171,8 +218,7 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     keyed = materialise(keyed, "bands")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = materialise(keyed.join(shared, "key"), "buckets")
-    texts = materialise(rows.select("rid", "text", "bits").join(buckets.select("rid").distinct(), "rid"), "texts")
-    sketches = texts.select("rid", "bits")
+    texts = materialise(rows.select("rid", "text").join(buckets.select("rid").distinct(), "rid"), "texts")
     roots = None
 
     def rooted() -> DataFrame:
@@ -191,29 +237,35 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
             star = older.unionByName(star.join(roots.select("node"), "node", "left_anti"))
         roots = materialise(star, "roots")
 
-    for turn in range(hub_rounds + 1):
+    def live() -> DataFrame:
         have = rooted()
         mixed = have.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        live = have.join(mixed.select("key", "n"), "key")
-        if turn < hub_rounds:
-            # a bucket falls into small random groups, other ones in each bucket and round; a group's members meet its hub
-            live = live.withColumn("part", F.pmod(F.xxhash64("rid", "key", F.lit(turn)), F.ceil(F.col("n") / SHARING)))
-            hubs = live.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root")).alias("hub"))
-            offers = live.join(hubs.select("key", "part", F.col("hub.rid").alias("a"), F.col("hub.root").alias("hub_root")), ["key", "part"]).where(F.col("root") != F.col("hub_root"))
-            some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a"))), 1, PARTNERS)  # of one hub a band
-            offered = offers.groupBy(F.col("rid").alias("b")).agg(some.alias("some")).select("b", F.explode("some.a").alias("a"))
-            pairs = offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            left = live.join(sketches, "rid")
-            one, two = (left.select("key", F.col("rid").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-            near = (one["root_a"] != two["root_b"]) & (one["a"] < two["b"]) & (differing(one["bits_a"], two["bits_b"]) <= DIFFERING)
-            pairs = one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
+        return have.join(mixed.select("key", "n"), "key")
+
+    def test(pairs: DataFrame) -> None:
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():  # groups of one root each offer nothing, though their bucket may have other ones
-            continue
-        edges = materialise(confirm(pairs, texts), "links")
+        if not pairs.isEmpty():  # groups of one root each offer nothing, though their bucket may have other ones
+            edges = materialise(confirm(pairs, texts), "links")
+            if not edges.isEmpty():
+                merge(edges)
+
+    for turn in range(hub_rounds):
+        # a bucket falls into small random groups, other ones in each bucket and round; a group's members meet its hub
+        dealt = live().withColumn("part", F.pmod(F.xxhash64("rid", "key", F.lit(turn)), F.ceil(F.col("n") / SHARING)))
+        hubs = dealt.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root")).alias("hub"))
+        offers = dealt.join(hubs.select("key", "part", F.col("hub.rid").alias("a"), F.col("hub.root").alias("hub_root")), ["key", "part"]).where(F.col("root") != F.col("hub_root"))
+        some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a"))), 1, PARTNERS)  # of one hub a band
+        offered = offers.groupBy(F.col("rid").alias("b")).agg(some.alias("some")).select("b", F.explode("some.a").alias("a"))
+        test(offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = materialise(live().select("key", "rid"), "live")
+    if not left.isEmpty():
+        told, at = differences(left, texts)
+        edges = materialise(linked_by_size(told), "links")
         if not edges.isEmpty():
             merge(edges)
+        if roots is None:
+            roots = told.select(F.col("rid").alias("node"), F.col("rid").alias("root"))
+        test(sharing_elements(told, at, roots))
     if roots is None:
         reach = classes.select(*key, "class_id", F.col("class_id").alias("component_id"))
     else:

@@ -144,16 +144,6 @@ def test_sketch_estimates_similarity():
     assert max(errors) < 0.2 and np.mean(errors) < 0.08
 
 
-def test_nibbles_count_differing_coordinates(spark):
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 2**63, 300).astype(np.uint64)
-    a, b = near_dedup.sketch(x), near_dedup.sketch(x[:250])
-    df = spark.createDataFrame([(near_dedup.nibbles(a).tolist(), near_dedup.nibbles(b).tolist())], "a array<long>, b array<long>")
-    got = df.select(near_dedup.differing(F.col("a"), F.col("b")).alias("n")).first()["n"]
-    low = lambda s: near_dedup.mix(s) & np.uint64(15)
-    assert got == int((low(a) != low(b)).sum()) and abs(got / near_dedup.T - 0.16) < 0.1
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)]

@@ -3,10 +3,12 @@
 Templates are short fixed texts. Their content words form the licence
 vocabulary. One pass over the documents keeps, per row, the positions of
 vocabulary words; document frequencies of those words over the whole corpus
-give the IDF weights. Each template's rarest words look up candidate
-alignments (document position minus template position); an alignment is scored
-by the IDF weight of all template words found at their relative positions, and
-counts only if every mandatory key word stands where the template has it.
+give the IDF weights. Each file's rarest licence words, those of highest IDF,
+look up the template postings, and give candidate alignments (document position
+minus template position). Only at these the file's other licence words are
+intersected with the postings by relative position: an alignment is scored by the
+IDF weight of all template words found at their places, and counts only if every
+mandatory key word stands where the template has it.
 
 Defined cases: null or empty text has no words, no labels and score 0; repeated
 rows and null doc_id are scanned row by row; an empty table gives an empty
@@ -53,7 +55,8 @@ STOP = "the of and to in is this that for with by on or a an as be are it from a
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_SCORE = 0.6
-RARE_WORDS = 3
+#: Distinct words of a file that look up the index; the base phrases don't depend on them.
+RARE_WORDS = 8
 
 
 def template_rows() -> list[tuple[int, str, int, str, bool]]:
@@ -104,16 +107,18 @@ def scan(docs: DataFrame, min_score: float = MIN_SCORE, rare_words: int = RARE_W
         .withColumn("idf", F.round(F.log(F.lit(n + 1) / (F.coalesce("df", F.lit(0)) + 0.5)), 6).cast("decimal(18,6)"))
     )
     per = W.partitionBy("t")
-    index = weighed.select(
-        "t", "label", "p", "w", "key", "idf",
-        (F.row_number().over(per.orderBy(F.desc("idf"), "w", "p")) <= rare_words).alias("rare"),
-        F.sum("idf").over(per).alias("total"), F.sum(F.col("key").cast("int")).over(per).alias("n_key"),
-    )
+    index = materialise(weighed.select("t", "label", "p", "w", "key", "idf", F.sum("idf").over(per).alias("total"), F.sum(F.col("key").cast("int")).over(per).alias("n_key")).coalesce(1), "license-index")
+    # at most as many words a file as the vocabulary has, with one IDF each
+    idf = index.groupBy("w").agg(F.max("idf").alias("idf"))
+    in_file = hit.select("rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).join(F.broadcast(idf), "w")
+    rare = in_file.withColumn("k", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("idf"), "w"))).where(F.col("k") <= rare_words).select("rid", "w")
+    postings_of = lambda p: p.join(F.broadcast(index), "w").withColumn("at", F.col("i") - F.col("p"))  # noqa: E731  as many rows as the fixed templates have words
+    candidates = postings_of(places.join(rare, ["rid", "w"], "left_semi")).select("rid", "t", "at").distinct()
     found = (
-        places.join(F.broadcast(index), "w")  # as many rows as the fixed templates have words
-        .groupBy("rid", "t", "label", (F.col("i") - F.col("p")).alias("at"))
-        .agg(F.sum("idf").alias("got"), F.max("total").alias("total"), F.sum(F.col("key").cast("int")).alias("keys"), F.max("n_key").alias("n_key"), F.max("rare").alias("rare"))
-        .where(F.col("rare") & (F.col("keys") == F.col("n_key")))
+        postings_of(places.join(candidates.select("rid").distinct(), "rid", "left_semi")).join(candidates, ["rid", "t", "at"], "left_semi")
+        .groupBy("rid", "t", "label", "at")
+        .agg(F.sum("idf").alias("got"), F.max("total").alias("total"), F.sum(F.col("key").cast("int")).alias("keys"), F.max("n_key").alias("n_key"))
+        .where(F.col("keys") == F.col("n_key"))
         .withColumn("score", F.round((F.col("got") / F.col("total")).cast("double"), 6))
         .where(F.col("score") >= min_score)
         .groupBy("rid").agg(F.collect_set("label").alias("method_labels"), F.max("score").alias("score"), F.countDistinct("t").alias("n_templates"))
@@ -147,9 +152,12 @@ def oracle_sql() -> str:
     dfs AS (SELECT w, count(DISTINCT doc_id) AS df FROM hits GROUP BY w),
     tpl(t, label, p, w, k) AS (VALUES {values}),
     idx AS (SELECT tpl.*, CAST(round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 0.5)), 6) AS DECIMAL(18,6)) AS idf FROM tpl LEFT JOIN dfs USING (w)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, w, p) <= {RARE_WORDS} AS rare, sum(idf) OVER (PARTITION BY t) AS total, sum(k::INT) OVER (PARTITION BY t) AS n_key FROM idx),
-    found AS (SELECT doc_id, t, label, round((sum(idf)::DOUBLE / max(total)::DOUBLE), 6) AS score FROM hits JOIN ranked USING (w)
-              GROUP BY doc_id, t, label, i - p HAVING bool_or(rare) AND sum(k::INT) = max(n_key)),
+    ranked AS (SELECT *, sum(idf) OVER (PARTITION BY t) AS total, sum(k::INT) OVER (PARTITION BY t) AS n_key FROM idx),
+    mine AS (SELECT DISTINCT doc_id, w, idf FROM hits JOIN idx USING (w)),
+    rare AS (SELECT doc_id, w FROM mine QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, w) <= {RARE_WORDS}),
+    cand AS (SELECT DISTINCT doc_id, t, i - p AS at FROM hits JOIN rare USING (doc_id, w) JOIN ranked USING (w)),
+    found AS (SELECT doc_id, t, label, round((sum(idf)::DOUBLE / max(total)::DOUBLE), 6) AS score FROM hits JOIN ranked USING (w) JOIN cand USING (doc_id, t) WHERE cand.at = i - p
+              GROUP BY doc_id, t, label, i - p HAVING sum(k::INT) = max(n_key)),
     good AS (SELECT doc_id, max(score) AS score, count(DISTINCT t) AS n_templates FROM found WHERE score >= {MIN_SCORE} GROUP BY doc_id),
     base AS ({phrases}),
     per AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),

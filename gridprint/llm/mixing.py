@@ -22,16 +22,17 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import lower_ascii, materialise
+from gridprint.llm.common import lower_ascii, materialise, rows_as_one
 
-#: Labelled rows that the classifier is fitted on at most, words that it uses, and rows that a word must stand in.
-MAX_LABELLED, MAX_FEATURES, MIN_ROWS = 20_000, 150, 5
+#: Labelled rows that the classifier is fitted on at most, and rows that a feature must stand in; all that do and tell domains apart are used.
+MAX_LABELLED, MIN_ROWS = 20_000, 5
 #: How much more often a feature must stand in some domain than in all rows; common words only tell long texts from short.
 MIN_LIFT = 3.0
 STEPS, TOLERANCE = 30, 1e-6
@@ -79,8 +80,13 @@ class Classifier:
         if not self.weights:
             logs = start
         else:
-            table = F.create_map(*[x for k, v in sorted(self.weights.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
-            logs = F.aggregate(present, start, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
+            # maps are searched from end to end, so there are many short ones
+            parts: list[list[Column]] = [[] for _ in range(1 + len(self.weights) // 8)]
+            for k, v in sorted(self.weights.items()):
+                parts[zlib.crc32(k.encode()) % len(parts)] += [F.lit(k), F.array(*map(F.lit, v))]
+            table = F.array(*[F.create_map(*p) if p else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * len(self.domains))) for p in parts])
+            own = lambda w: F.element_at(F.get(table, (F.crc32(w.cast("binary")) % len(parts)).cast("int")), w)
+            logs = F.aggregate(present, start, lambda acc, w: F.zip_with(acc, own(w), lambda a, b: a + b))
         top = F.array_max(logs)
         odds = F.transform(logs, lambda x: F.greatest(F.exp(x - top), F.lit(FLOOR)))
         total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
@@ -91,10 +97,10 @@ def features(text: Column, n: Column) -> Column:
     return F.concat(F.array_distinct(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))), style(text, n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Classifier:
-    """Train on at most max_labelled labelled rows, drawn by hash; keep the max_features features that tell the domains apart best."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
+    """Train on at most max_labelled labelled rows, drawn by hash; keep the features that stand in enough of them and tell the domains apart."""
     chosen = labels.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.where("doc_id is not null").select("doc_id", "text").join(chosen, "doc_id").withColumn("n", tokens(F.col("text")))
+    rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("n", tokens(F.col("text")))  # at most max_labelled ids
     rows = materialise(rows.select("domain", features(F.col("text"), F.col("n")).alias("f")), "labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(sizes)
@@ -104,10 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     counted = rows.select("domain", F.explode("f").alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
     shares = [(F.col(f"n{i}") + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]
     mean = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0)) / float(total)
-    # how much the feature's presence says about the domain, weighed by how often it is present
-    gain = sum((F.lit(sizes[d] / total) * s * F.log(s / (mean + 0.5 / total)) for d, s in zip(domains, shares, strict=True)), F.lit(0.0))
     lift = F.greatest(*shares, F.lit(0.0)) / (mean + 0.5 / total)
-    best = counted.where((mean * total >= MIN_ROWS) & (lift >= MIN_LIFT)).withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "f").limit(max_features).collect()
+    best = sorted(counted.where((mean * total >= MIN_ROWS) & (lift >= MIN_LIFT)).collect(), key=lambda r: r["f"])  # bounded by the labelled rows
     weights, absent = {}, [0.0] * len(domains)
     for r in best:
         p = [(r[f"n{i}"] + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]
@@ -185,6 +189,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = T
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS) -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says."""
-    taken = mix(docs, labels, targets).where("n_copies > 0").groupBy("doc_id").agg(F.max("n_copies").alias("_n")).select(F.col("doc_id").alias("_id"), "_n")
-    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, labels, targets).where("n_copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("n_copies").alias("n"))
+    many = rows_as_one(docs).join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return many.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")

@@ -35,13 +35,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import materialise, ship
+from gridprint.llm.common import by_size, materialise, ship
 
 ORDER = 4
 DISCOUNT = 0.75
 #: N-grams that a chunk of a stored array has about.
 CHUNK = 100_000
-BLOCK = 1_000_000
+#: Characters that are looked up at once, and bytes of texts that are decoded at once.
+BLOCK, SLICE = 250_000, 4 << 20
 Z, SLACK = 8.0, 1.0
 UNKNOWN = "und"
 _ALPHA: list[np.ndarray] = []
@@ -114,7 +115,7 @@ def gram_codes(cp: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def distinct(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct codes, counts, index of each code among them)."""
-    if k**ORDER <= 1 << 24:
+    if k**ORDER <= 1 << 22:
         n = np.bincount(code, minlength=1)
         found = np.flatnonzero(n)
         where = np.zeros(len(n), np.int32)
@@ -140,7 +141,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return keys, np.bincount(index, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_size(whole, 1, SLICE)):
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
@@ -359,19 +360,19 @@ def fit(learn: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, z: float = Z, slack: float = SLACK) -> DataFrame:
-    """docs with lang_pred, score, bits and accepted; needs a text column and none of those names."""
+    """doc_id, lang_pred, score, bits and accepted of each row (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double, bits double, accepted boolean"
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score, bits, ok = shared.value.score(batch.column(at).to_pylist(), z, slack)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(ok)], [*batch.schema.names, "lang_pred", "score", "bits", "accepted"])
+            for part in by_size(batch, 1, SLICE):
+                langs, score, bits, ok = shared.value.score(part.column(1).to_pylist(), z, slack)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(ok)], ["doc_id", "lang_pred", "score", "bits", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, accepted boolean")
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -387,7 +388,8 @@ def accepted(docs: DataFrame, model: Model | None = None, z: float = Z, slack: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist(), z, slack)[3], pa.bool_()))
+            for part in by_size(batch, at, SLICE):
+                yield part.filter(pa.array(shared.value.score(part.column(at).to_pylist(), z, slack)[3], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -36,8 +36,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 KINDS = ("assign", "access", "hex")
 #: Ordinary tokens: from LONG characters on, and shorter ones, which are far more and would leave the long ones no place in a sample.
 ORDINARY, LONG = ("long", "short"), 16
-#: Labelled credentials of a kind, and ordinary tokens of a class, that the automata and the character model are fitted on.
-SAMPLE = 400
+#: Labelled credentials of a kind, and ordinary tokens of a class, that the automata and the character model are fitted on, and the
+#: characters that one of these has at most. Longer ones are scored like others.
+SAMPLE, LEARNED = 400, 256
 ALPHA, MARGIN = 0.05, 0.8
 #: Scores that a worker remembers, and characters of the longest tokens that they are of.
 MEMO, MEMO_CHARS = 100_000, 64
@@ -55,6 +56,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def untouched(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Tokens that no base span touches, in one pass over both."""
+    joined: list[list[int]] = []
+    for a, _, b in base:
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    at = 0
+    for m in TOKEN.finditer(text):
+        while at < len(joined) and joined[at][1] <= m.start():
+            at += 1
+        if at == len(joined) or joined[at][0] >= m.end():
+            yield m
+
+
 def value_of(text: str, kind: int, start: int, end: int) -> str:
     """The credential in a base span."""
     return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
@@ -194,19 +211,11 @@ class Grammar:
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int, float]]:
         """(start, kind, end, score) of tokens that no base span touches."""
-        out, at = [], 0
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            while at < len(base) and base[at][2] <= a:
-                at += 1
-            k = at
-            while k < len(base) and base[k][0] < b and base[k][2] <= a:
-                k += 1
-            if k < len(base) and base[k][0] < b:
-                continue
+        out = []
+        for m in untouched(text, base):
             kind, score = self.remembered(m[0])
             if score >= self.margin:
-                out.append((a, f"format_{kind}", b, score))
+                out.append((m.start(), f"format_{kind}", m.end(), score))
         return out
 
 
@@ -217,15 +226,9 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             text = text or ""
             base = base_spans(text)
-            for a, k, b in base:
-                rows.append((KINDS[k], value_of(text, k, a, b)[:256]))
-            at = 0
-            for m in TOKEN.finditer(text):
-                while at < len(base) and base[at][2] <= m.start():
-                    at += 1
-                if not any(x[0] < m.end() and m.start() < x[2] for x in base[at : at + 3]):
-                    rows.append((ORDINARY[len(m[0]) < LONG], m[0][:256]))
-        rows = [(k, v, hashlib.md5(v.encode()).hexdigest()) for k, v in dict.fromkeys(rows)]
+            rows += [(KINDS[k], value_of(text, k, a, b)) for a, k, b in base]
+            rows += [(ORDINARY[len(m[0]) < LONG], m[0]) for m in untouched(text, base)]
+        rows = [(k, v, hashlib.md5(v.encode()).hexdigest()) for k, v in dict.fromkeys(rows) if len(v) <= LEARNED]
         keep = [r for kind in (*ORDINARY, *KINDS) for r in sorted((r for r in rows if r[0] == kind), key=lambda r: r[2])[: SAMPLE]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in keep], pa.string()) for i in range(3)], ["kind", "value", "key"])
 

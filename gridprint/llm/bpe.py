@@ -38,7 +38,7 @@ COMMON = re.compile("[\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*+\\Z").
 COMMON_WORDS = re.compile("[a-z\xdf-\xf6\xf8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\u017f]+").findall
 MAX_WORDS = 60_000
 MIN_COUNT = 3
-MEMO = 600_000
+MEMO = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -113,11 +113,35 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
+#: Code points that `regex` may class as letters or numbers and the library, which knows Unicode 16, does not.
+LATE = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb "
+    "11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 "
+    "1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
+    "2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+
+
+#: Capitals of Unicode 16 and 17 and their small letters, which the library has and `str.lower` may not.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+CAPITAL = re.compile(f"[{''.join(map(chr, CAPITALS))}]").search
+
+
+def late_class() -> str:
+    """LATE as the inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATE.split())
+
+
 class Splitter:
     """Text to words as the tokenizer file has it: special tokens apart, composed, lower case by character."""
 
     def __init__(self, pattern: str, special: dict[str, int]):
         self.words = regex.compile(pattern).findall
+        late = late_class()
+        self.late = re.compile(f"[{late}]").search
+        without = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]").replace(r"[\p{L}]", rf"[\p{{L}}--[{late}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{late}]]")
+        self.careful = regex.compile(without, regex.V1).findall
         self.fast = pattern == PATTERN
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -136,6 +160,10 @@ class Splitter:
             return COMMON_WORDS(text.lower())
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if CAPITAL(text):
+                text = text.translate(CAPITALS)
+            if self.late(text):
+                return self.careful(text.lower())
         return self.words(text.lower())
 
 

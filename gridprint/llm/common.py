@@ -67,6 +67,11 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def rows_as_one(df: DataFrame) -> DataFrame:
+    """All columns as one struct `row`, so that no name of theirs meets one of ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import by_size, materialise, ship, with_row_id
+from gridprint.llm.common import by_size, materialise, rows_as_one, ship, with_row_id
 from gridprint.llm.hashing import U, mix, shingles
 
 #: Coordinates of a sketch; bands, and rows of a band, that it is cut into.
@@ -279,5 +279,5 @@ def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id names its component."""
-    kept = linked(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = linked(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return rows_as_one(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")

@@ -55,6 +55,41 @@ def test_exact_bytes_are_compared_when_digests_collide(spark, docs):
     check_exact(rows, got.collect())
 
 
+def test_exact_state_of_an_earlier_call(spark, tmp_path):
+    state = str(tmp_path / "state")
+    calls = [[(1, "A b"), (2, "c"), (5, "a B"), (3, None)], [(4, "a b"), (6, "C"), (7, "new"), (8, "")], [(9, "A B")]]
+    want = [{1: (5, 2), 5: (5, 2), 2: (2, 1), 3: (3, 1)}, {4: (5, 3), 6: (6, 2), 7: (7, 1), 8: (8, 2)}, {9: (9, 4)}]
+    for i, (rows, own) in enumerate(zip(calls, want, strict=True)):
+        path = str(tmp_path / f"docs{i}")
+        frame(spark, rows).write.parquet(path)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.report(spark.read.parquet(path), state).collect()}
+        assert got == own
+
+
+def test_exact_text_of_an_earlier_call_is_compared(spark, tmp_path):
+    """With digests that collide, only the file that the locator names can tell the texts apart."""
+    state, ids = str(tmp_path / "state"), []
+    for i, rows in enumerate([[(7, "one")], [(1, "two"), (2, "Two")]]):
+        path = str(tmp_path / f"docs{i}")
+        frame(spark, rows).write.parquet(path)
+        ids = exact_dedup.groups(spark.read.parquet(path), digest=lambda s: F.lit("same"), state=state).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in ids} == {(1, 2, 2), (2, 2, 2)}
+
+
+CLASHING = "id long, sha string, own_sha string, row string, n long, copy int, _id int, _sha int, _n int, _copy int, lang_pred string, score double, bits double, accepted boolean, rid int, root int, key int"
+
+
+def test_stages_with_clashing_names(spark):
+    from gridprint.llm import language_id, mixing
+
+    names = [f.split()[0] for f in CLASHING.split(", ")]
+    docs = frame(spark, [(i, t * 9) for i, t in enumerate(["a long text ", "A long text ", "other words here ", "a few more words "])]).select("doc_id", "text", F.lit("en").alias("lang"), *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in CLASHING.split(", ")])
+    labels = spark.createDataFrame([(0, "x"), (2, "y")], "doc_id long, domain string")
+    for out, n in ((language_id.accepted(docs), 4), (exact_dedup.distinct_texts(docs), 3), (near_dedup.representatives(docs), 3), (mixing.mixed(docs, labels, None), 4)):
+        assert out.columns == ["doc_id", "text", "lang", *names]
+        assert out.count() == n
+
+
 def test_distinct_texts_keep_columns(spark):
     out = exact_dedup.distinct_texts(frame(spark, ODD))
     assert out.columns == ["doc_id", "text", "rid", "digest"] and out.count() == len({low(t) for _, t in ODD})

@@ -41,6 +41,12 @@ def test_license_places_and_labels(spark):
     assert rows[7]["labels"] == "mit" and rows[7]["base_labels"] == ""
 
 
+def test_license_words_of_a_file_look_up_the_index(spark):
+    far = "mit word " * 50 + "Mozilla Public License, version 2.0 " + "apache word gpl " * 50
+    got = license_scan.scan(frame(spark, [(1, far), (2, "Mozilla Public words License version 2 0")])).collect()
+    assert "mpl" in got[0]["labels"].split(",") and got[0]["base_labels"] == "" and got[1]["labels"] == ""
+
+
 def test_license_odd_rows(spark):
     assert license_scan.scan(frame(spark, ODD)).count() == len(ODD)
     assert license_scan.scan(frame(spark, [])).count() == 0
@@ -254,6 +260,15 @@ def test_bpe_against_the_library(spark, docs, reference_tokenizer):
         assert r["decoded"] == reference_tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point(reference_tokenizer):
+    own = bpe.Encoder(bpe.Merges(tokenizer_path()), None)
+    texts = [t for c in [*range(0xD800), *range(0xE000, 0x33500), *range(0x3D000, 0x3D010), *range(0xE0000, 0xE0200)] for t in (f"a{chr(c)}b", chr(c))]
+    for k in range(0, len(texts), 20_000):
+        part = texts[k : k + 20_000]
+        for t, got, want in zip(part, own.encode(part)[0], reference_tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert got == struct.pack(f"<{len(want.ids)}I", *want.ids), hex(ord(t[len(t) // 2]))
+
+
 def test_lexicon_is_exact_and_minimal():
     words = {"tops": [1, 2], "tap": [3], "taps": [4], "top": [5, 6, 7], "é": [8]}
     lexicon = bpe.Lexicon.mapped(bpe.Lexicon.build(words).dump())

@@ -11,6 +11,8 @@ from pyspark.sql import types as Y
 
 from gridprint.functions import text as T
 
+#: Words that link a sentence's first word with what follows them.
+RULE_VERBS = ["is", "has", "was", "with", "of"]
 TRIPLES = "chunk_id string, subject string, predicate string, object string, confidence double"
 
 
@@ -74,8 +76,12 @@ def clean_triples(triples: DataFrame) -> DataFrame:
 def rule_triples(chunks_: DataFrame) -> DataFrame:
     """G5 without a model: 'X is|has|was|with Y' inside a sentence, as (X, verb, Y)."""
     s = chunks_.select("chunk_id", F.explode(T.sentences(F.col("content"))).alias("s"))
-    pattern = r"^\W*([\p{L}]+)(?:\W+[\p{L}]+)*?\W+(is|has|was|with|of)\W+([\p{L}]+)"
-    return clean_triples(s.select("chunk_id", *[F.regexp_extract("s", pattern, i).alias(n) for i, n in ((1, "subject"), (2, "predicate"), (3, "object"))], F.lit(1.0).alias("confidence")))
+    words = s.select("chunk_id", F.regexp_extract_all("s", F.lit(T.LETTERS), F.lit(0)).alias("w"))
+    verbs = F.array(*map(F.lit, RULE_VERBS))
+    # the first verb that has a word on either side
+    at = F.array_position(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: F.array_contains(verbs, x)), True).cast("int")
+    told = words.withColumn("at", at).where("at > 0")
+    return clean_triples(told.select("chunk_id", F.get("w", F.lit(0)).alias("subject"), F.get("w", F.col("at")).alias("predicate"), F.get("w", F.col("at") + 1).alias("object"), F.lit(1.0).alias("confidence")))
 
 
 def extract(chunks_: DataFrame, client: Callable[[str], str]) -> DataFrame:

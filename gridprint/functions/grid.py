@@ -7,22 +7,28 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shifts and masks that spread sixteen bits to the even places of 32.
-SPREAD = [(8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)]
+#: The bits of a byte at the even places of two, and the even bits of a byte side by side. Looked up, since a shift-and-mask
+#: step repeats its argument, which makes generated code grow with the power of the steps.
+SPREAD = [sum((b >> i & 1) << 2 * i for i in range(8)) for b in range(256)]
+GATHER = [sum((b >> 2 * i & 1) << i for i in range(4)) for b in range(256)]
+
+
+def _bytewise(table: list[int], v: Column, size: int, width: int) -> Column:
+    """Entries for the lowest `size` bytes, each `width` bits further up."""
+    entries = F.expr(f"array({', '.join(f'{x}L' for x in table)})")
+    parts = [F.shiftleft(F.get(entries, F.shiftright(v, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")), width * k) for k in range(size)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
 
 
 def _spread(v: Column) -> Column:
-    v = v.cast("long").bitwiseAND(F.lit(0xFFFF).cast("long"))
-    for shift, mask in SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
+    return _bytewise(SPREAD, v.cast("long"), 2, 16)
 
 
 def _gather(v: Column) -> Column:
-    v = v.cast("long").bitwiseAND(F.lit(0x55555555).cast("long"))
-    for shift, mask in [*[(s, m) for (s, _), (_, m) in zip(SPREAD[::-1], SPREAD[-2::-1], strict=False)], (8, 0xFFFF)]:
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
+    return _bytewise(GATHER, v.cast("long"), 4, 4)
 
 
 def morton(x: Column, y: Column) -> Column:

@@ -121,6 +121,14 @@ def wordnet_pos(tag: Column) -> Column:
     return out
 
 
+def verb_stem(stem: Column) -> Column:
+    """What is left of a form in -ing, -ed or -est: a doubled consonant becomes one, an -e that was dropped comes back."""
+    doubled = stem.rlike(r"([bdgkmnprt])\1$")
+    short = stem.rlike("^[^aeiou]*[aeiouy][^aeiouwxy]$")  # one syllable that ends with vowel and consonant: mak-e, hop-e
+    open_end = stem.rlike("([^e]at|bl|iz|yz|[cuv]|[lr]g|[bcdfgkpt]l|[ae][aiu]s|[^aeiou][aeio]s)$") | stem.isin("creat", "us")
+    return F.when(doubled, F.substring(stem, F.lit(1), F.length(stem) - 1)).when(short | open_end, F.concat(stem, F.lit("e"))).otherwise(stem)
+
+
 def lemma(word: Column, pos: Column | None = None) -> Column:
     """An approximation by suffix rules and a table of irregular forms."""
     w = F.lower(word)
@@ -134,7 +142,10 @@ def lemma(word: Column, pos: Column | None = None) -> Column:
     table = F.lit(None).cast("string")
     for form, base in lists.IRREGULAR.items():
         table = F.when(w == form, base).otherwise(table)
-    by_rule = rules(lists.NOUN_SUFFIXES) if pos is None else F.when(pos == "v", rules(lists.VERB_SUFFIXES)).when(pos == "n", rules(lists.NOUN_SUFFIXES)).otherwise(w)
+    stem = F.regexp_extract(w, "^(.*[aeiouy].*)(?:ing|ed)$", 1)
+    verb = F.when(w.endswith("ied"), rules(lists.VERB_SUFFIXES)).when(stem != "", verb_stem(stem)).otherwise(rules(lists.VERB_SUFFIXES))
+    adjective = F.when(w.rlike("[^aeiou]i(er|est)$"), F.regexp_replace(w, "i(er|est)$", "y")).when(w.rlike("^.{3,}est$"), verb_stem(F.regexp_extract(w, "^(.*)est$", 1))).otherwise(w)
+    by_rule = rules(lists.NOUN_SUFFIXES) if pos is None else F.when(pos == "v", verb).when(pos == "n", rules(lists.NOUN_SUFFIXES)).when(pos == "a", adjective).otherwise(w)
     return F.coalesce(table, by_rule)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of a query block up to which it is broadcast to all rows.
+#: Bytes of a block of queries that is broadcast to all rows.
 BLOCK_BYTES = 64 << 20
 
 
@@ -83,11 +85,13 @@ MEASURES = {"cosine": cosine, "l2": euclidean, "ip": dot}
 
 
 def against(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every row meets the block of queries; a block of at most BLOCK_BYTES goes to all rows, a larger one is cut into blocks by the caller."""
-    size = queries.agg(F.sum(F.size("q_vector") * 4)).first()[0] or 0
-    if size > BLOCK_BYTES:
-        raise ValueError(f"a query block of {size} bytes; split it")
-    return rows.join(F.broadcast(queries))
+    """Every row meets the queries, which go to all rows in blocks of about BLOCK_BYTES."""
+    size = queries.agg(F.sum(F.size("q_vector") * 8)).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries))
+    parts = [rows.join(F.broadcast(queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i))) for i in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -> DataFrame:

@@ -118,7 +118,8 @@ def token_estimate(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n\s*\n')) AS s FROM documents WHERE text IS NOT NULL)
+SELECT documents.doc_id, count(s)::BIGINT AS n, coalesce(sum(length(trim(s))), 0)::BIGINT AS chars FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id AND trim(s) <> '' GROUP BY documents.doc_id""")
 def sentence_split(spark, d):
     s = read(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("chars"))
@@ -659,13 +660,27 @@ def wal_resume(spark, d):
 
 # rows only
 
-@query()
+def smoothed(sigma: float) -> str:
+    """SQL of the merged fingerprints, smoothed: a source adds to a target by the kernel's share that reads it there, mirrored edges included."""
+    kernel = G.gaussian(sigma)
+    r = len(kernel) // 2
+    share: dict[tuple[int, int], float] = {}
+    for t in range(GRID):
+        for i, w in enumerate(kernel):
+            m = (t + i - r) % (2 * GRID)
+            s = m if m < GRID else 2 * GRID - 1 - m
+            share[t, s] = share.get((t, s), 0.0) + w
+    values = ", ".join(f"({t}, {s}, {w!r}::DOUBLE)" for (t, s), w in share.items())
+    return f"{S.DOC}, merged AS (SELECT lang, cell, round(sum(value), 6) AS value FROM dfp JOIN documents ON doc_id = context_id GROUP BY lang, cell), spots AS (SELECT lang, {S.gather('cell')} AS x, {S.gather('cell >> 1')} AS y, value FROM merged), k(t, s, w) AS (VALUES {values}), rows_ AS (SELECT lang, y, k.t AS x, sum(value * w) AS v FROM spots JOIN k ON k.s = spots.x GROUP BY ALL), soft AS (SELECT lang, x, k.t AS y, sum(v * w) AS v FROM rows_ JOIN k ON k.s = rows_.y GROUP BY ALL)"
+
+
+@query(f"WITH {smoothed(1.5)} SELECT lang, {S.morton('x', 'y')} AS cell, round(v, 6) AS value FROM soft WHERE v <> 0")
 def gaussian_smooth(spark, d):
     m = fp_merge(spark, d).select("lang", "cell", "value")
     return fp.per_grid(m, "lang", GRID, lambda g: fp.smooth(g, 1.5)).withColumn("value", r6("value"))
 
 
-@query()
+@query(f"WITH {smoothed(1.0)}, top AS (SELECT a.lang, a.x, a.y, max(b.v) AS top, max(a.v) AS v FROM soft a JOIN soft b ON a.lang = b.lang AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL) SELECT lang, cell, value FROM top JOIN merged USING (lang) WHERE cell = {S.morton('x', 'y')} AND v = top AND v > 0 AND value <> 0")
 def peak_detect(spark, d):
     m = fp_merge(spark, d).select("lang", "cell", "value")
     return fp.per_grid(m, "lang", GRID, lambda g: fp.peaks(fp.smooth(g, 1.0), 2) * g)
@@ -686,7 +701,8 @@ def collision_resolve(spark, d):
     return layout.resolve_collisions(grid_scale(spark, d), GRID)
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT p_name AS term FROM part), g AS (SELECT term, substr(term, i, n) AS g FROM t, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, length(term) - n + 2)) AS i)),
+c AS (SELECT term, ('0x' || right(md5(unnest(['A', 'B']) || g), 4))::INT % {GRID * GRID} AS cell FROM g) SELECT term, cell::BIGINT AS cell, count(*)::DOUBLE AS value FROM c GROUP BY ALL""")
 def pseudo_fingerprint(spark, d):
     return qu.pseudo_fingerprint(read(spark, d, "part").select(F.col("p_name").alias("term")).distinct(), GRID)
 

@@ -57,9 +57,19 @@ def test_occurrences(spark):
     assert one(spark, c("The cat the catalog", "the"), c("The cat the catalog", "CAT"), c("The cat the catalog", "cat", False), c("a.b axb", "a.b"), c("x", "", False)) == (2, 1, 2, 1, 0)
 
 
+def test_rule_triples(spark):
+    text = "The éé éé éé éé éé éé éé éé éé éé éé éé éé éé éé éé engine is fast. No verb here. Is it so? Paris was big with lights."
+    chunks = spark.createDataFrame([("c", text), ("d", "é " * 5000)], "chunk_id string, content string")
+    got = [(r["subject"], r["predicate"], r["object"]) for r in graph.rule_triples(chunks).collect()]
+    assert got == [("The", "is", "fast"), ("Paris", "was", "big")]
+
+
 def test_lemmas_and_structure(spark):
     tag = lambda *x: F.array(*[F.struct(F.lit(a).alias("tok"), F.lit(b).alias("tag")) for a, b in x])
-    assert one(spark, T.lemma(F.lit("boxes")), T.lemma(F.lit("cities")), T.lemma(F.lit("class")), T.lemma(F.lit("children")), T.lemma(F.lit("running"), F.lit("v"))) == ("box", "city", "class", "child", "runn")
+    assert one(spark, T.lemma(F.lit("boxes")), T.lemma(F.lit("cities")), T.lemma(F.lit("class")), T.lemma(F.lit("children")), T.lemma(F.lit("running"), F.lit("v"))) == ("box", "city", "class", "child", "run")
+    forms = {"making": "make", "used": "use", "stopped": "stop", "reading": "read", "created": "create", "tries": "try", "studied": "study", "solving": "solve", "opened": "open", "sing": "sing", "falling": "fall", "reducing": "reduce"}
+    assert one(spark, *[T.lemma(F.lit(w), F.lit("v")) for w in forms]) == tuple(forms.values())
+    assert one(spark, T.lemma(F.lit("happiest"), F.lit("a")), T.lemma(F.lit("biggest"), F.lit("a"))) == ("happy", "big")
     assert one(spark, T.valid_structure(tag(("run", "VB"))), T.valid_structure(tag(("big", "JJ"), ("cat", "NN"))), T.valid_structure(tag(("cat", "NN"), ("big", "JJ")))) == (False, True, False)
     assert one(spark, T.bigram_candidates(tag(("big", "JJ"), ("cat", "NN"), ("runs", "VB"))))[0] == ["big cat"]
     assert one(spark, T.wordnet_pos(F.lit("VBN")), T.wordnet_pos(F.lit("VBD")), T.wordnet_pos(F.lit("IN"))) == ("a", "v", "n")

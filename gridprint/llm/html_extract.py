@@ -24,9 +24,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,58 +169,117 @@ def label(node: Node) -> str:
     return node.label
 
 
-def align(page: Node, reference: Node) -> dict[int, int]:
-    """Number of a page's node -> number of the matched reference node, by simple tree matching."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+def classes(page: Node, reference: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """Number of a node -> class, for both trees: subtrees of one class have the same labels and the same texts, of those that stand in both trees. Classes with such a text are odd."""
+    trees = []
+    for root in (page, reference):
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += elements(node)
+        trees.append(order[::-1])  # children first
+    common = set().union(*(n.texts for n in trees[0])) & set().union(*(n.texts for n in trees[1]))
+    known: dict[tuple, int] = {}
+    out: tuple[dict[int, int], dict[int, int]] = {}, {}
+    for order, own in zip(trees, out, strict=True):
+        for node in order:
+            texts = node.texts & common
+            below = tuple(own[c.number] for c in elements(node))
+            own[node.number] = known.setdefault((label(node), texts, below), 2 * len(known) + (bool(texts) or any(c & 1 for c in below)))
+    return out
 
-    def children(a: Node, b: Node) -> tuple[list[Node], list[Node]]:
-        return elements(a), elements(b)
 
-    def solve(top_a: Node, top_b: Node) -> None:
-        todo = [(top_a, top_b)]
-        while todo:
-            a, b = todo[-1]
-            if (a.number, b.number) in memo:
-                todo.pop()
-                continue
-            xs, ys = children(a, b)
-            lx, ly = [label(x) for x in xs], [label(y) for y in ys]
-            missing = [(x, y) for x, p in zip(xs, lx, strict=True) for y, q in zip(ys, ly, strict=True) if p == q and (x.size > 1 and y.size > 1) and (x.number, y.number) not in memo]
-            if missing:
-                todo += missing
-                continue
-            todo.pop()
+def anchored(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+    """Places of the equal classes with a text that stand once in either list, in the longest order that both have."""
+    once = [{c: i for i, c in enumerate(side) if c & 1 and n[c] == 1} for side in (xs, ys) for n in [Counter(side)]]
+    pairs = [(i, once[1][c]) for c, i in once[0].items() if c in once[1]]
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        tails[at:] = [j, *tails[at + 1 :]] if at < len(tails) else [j]
+        ends[at:] = [k, *ends[at + 1 :]] if at < len(ends) else [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def heaviest(weights: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest matching of two lists in order: (weight, places). weights: of distinct members, xs and ys: which one each place has.
+    A row of the table at a time, and two bits of each cell for the way back."""
+    above, moves = np.zeros(len(ys) + 1, np.int64), []
+    for x in xs:
+        own = weights[x][ys]
+        both = above[:-1] + own
+        row = np.concatenate([above[:1], np.maximum.accumulate(np.maximum(above[1:], both))])
+        moves.append((np.packbits((own > 0) & (row[1:] == both)), np.packbits(row[1:] == above[1:])))
+        above = row
+    pairs, i, j = [], len(xs), len(ys)
+    while i and j:
+        match, up = (bits[(j - 1) >> 3] >> (7 - (j - 1 & 7)) & 1 for bits in moves[i - 1])
+        if match:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif up:
+            i -= 1
+        else:
+            j -= 1
+    return int(above[-1]), pairs
+
 
-            def weight(i: int, j: int) -> int:
-                if lx[i] != ly[j]:
-                    return 0
-                same = 0 if xs[i].texts.isdisjoint(ys[j].texts) else SAME_TEXT
-                return same + (memo[xs[i].number, ys[j].number][0] if xs[i].size > 1 and ys[j].size > 1 else 1)
-
-            rows = [[0] * (len(ys) + 1)]
-            for i in range(len(xs)):
-                prev, row = rows[-1], [0]
-                for j in range(len(ys)):
-                    row.append(max(prev[j + 1], row[j], prev[j] + weight(i, j)))
-                rows.append(row)
-            pairs, i, j = [], len(xs), len(ys)
-            while i and j:
-                if (w := weight(i - 1, j - 1)) and rows[i][j] == rows[i - 1][j - 1] + w:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-                elif rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            memo[a.number, b.number] = 1 + rows[-1][-1], pairs
-
-    solve(page, reference)
-    out, todo = {}, [(page, reference)]
+def align(page: Node, reference: Node) -> dict[int, int]:
+    """Number of a page's node -> number of the matched reference node, by simple tree matching.
+
+    A pair of subtree classes is matched once, however many pairs of nodes have them. Children that stand once in either
+    list and are equal, texts included, are matched first, and what stands between them by the heaviest matching in order.
+    """
+    class_a, class_b = classes(page, reference)
+    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    todo = [(page, reference)]
     while todo:
-        a, b = todo.pop()
+        a, b = todo[-1]
+        key = class_a[a.number], class_b[b.number]
+        if key in memo:
+            todo.pop()
+            continue
+        xs, ys = elements(a), elements(b)
+        cx, cy = [class_a[x.number] for x in xs], [class_b[y.number] for y in ys]
+        fixed = [(-1, -1), *anchored(cx, cy), (len(xs), len(ys))]
+        gaps = [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(fixed, fixed[1:], strict=False) if k > i + 1 and m > j + 1]
+        sides = [({c: x for c, x in zip(cx[g[0] : g[1]], xs[g[0] : g[1]], strict=True)}, {c: y for c, y in zip(cy[g[2] : g[3]], ys[g[2] : g[3]], strict=True)}) for g in gaps]
+        meet = [(x, y) for xs_, ys_ in sides for x in xs_.values() for y in ys_.values() if label(x) == label(y) and x.size > 1 and y.size > 1] + [(xs[i], ys[j]) for i, j in fixed[1:-1] if xs[i].size > 1]
+        missing = [(x, y) for x, y in meet if (class_a[x.number], class_b[y.number]) not in memo]
+        if missing:
+            todo += missing
+            continue
+        todo.pop()
+
+        def weight(x: Node, y: Node) -> int:
+            if label(x) != label(y):
+                return 0
+            same = 0 if x.texts.isdisjoint(y.texts) else SAME_TEXT
+            return same + (memo[class_a[x.number], class_b[y.number]][0] if x.size > 1 and y.size > 1 else 1)
+
+        total, pairs = sum(weight(xs[i], ys[j]) for i, j in fixed[1:-1]), fixed[1:-1]
+        for (i, k, j, m), (xs_, ys_) in zip(gaps, sides, strict=True):
+            weights = np.array([[weight(x, y) for y in ys_.values()] for x in xs_.values()], np.int64)
+            place_x, place_y = ({c: n for n, c in enumerate(side)} for side in (xs_, ys_))
+            more, found = heaviest(weights, np.array([place_x[c] for c in cx[i:k]]), np.array([place_y[c] for c in cy[j:m]]))
+            total += more
+            pairs = pairs + [(i + p, j + q) for p, q in found]
+        memo[key] = 1 + total, pairs
+    out, walk = {}, [(page, reference)]
+    while walk:
+        a, b = walk.pop()
         out[a.number] = b.number
-        if (a.number, b.number) in memo:
-            todo += memo[a.number, b.number][1]
+        if pairs := memo.get((class_a[a.number], class_b[b.number]), (0, []))[1]:
+            xs, ys = elements(a), elements(b)
+            walk += [(xs[i], ys[j]) for i, j in pairs]
     return out
 
 

@@ -152,6 +152,62 @@ def test_tree_matching():
     assert len(html_extract.align(a, b)) == 5 and html_extract.align(a, b)[2] == 3
 
 
+def test_tree_matching_is_the_heaviest():
+    """Against a plain recursion over all pairs of children, on small random trees without a text."""
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choices(("div", "section", "ul"), k=rng.randint(0, 4))) if depth else ""
+
+    def plain(a, b):
+        xs, ys = html_extract.elements(a), html_extract.elements(b)
+        rows = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + (plain(x, y) if x.tag == y.tag else 0))
+        return 1 + rows[-1][-1]
+
+    for _ in range(60):
+        a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
+        html_extract.number(a)
+        html_extract.number(b)
+        assert len(html_extract.align(a, b)) == plain(a, b)
+
+
+def test_long_lists_of_like_items():
+    import time
+
+    pages = [html_extract.read("<div>" + "".join(f"<p>item {i * k} <b>bold</b><a>read more</a></p>" for i in range(10_000)) + "</div>")[0] for k in (1, 3)]
+    began = time.process_time()
+    assert len(html_extract.align(*pages)) > 10_000 and len(html_extract.align(pages[0], pages[0])) == 30_002
+    assert time.process_time() - began < 60
+
+
+def test_article_is_found_without_names(monkeypatch):
+    """On hosts with enough pages the template alone tells content from what stands around it."""
+    for name in ("DROP", "ROLES", "WHOLE", "PART"):
+        monkeypatch.setattr(html_extract, name, set())
+
+    def page(i):
+        rows = "".join(f"<p>Paragraph {k} of story {i}</p>" for k in range(2 + i % 4))
+        return f"<body><div>Daily News</div><div><div>Home</div><div>Sport</div></div><div><h1>Story {i}</h1><div>Subscribe now</div>{rows}</div><div>Most read</div><div>All rights reserved</div></body>"
+
+    tree = html_extract.loaded(None)
+    for i in range(8):
+        html_extract.grow(tree, html_extract.read(page(i))[0])
+    counts, seen = {}, []
+    for i in range(40):
+        root, _, found = html_extract.read(page(i))
+        matched = html_extract.align(root, tree)
+        seen.append([(matched.get(node), text) for node, _, _, _, text in found])
+        for x in set(seen[-1]):
+            counts[x] = counts.get(x, 0) + 1
+    for i, own in enumerate(seen):
+        assert [t for x in own for t in [x[1]] if counts[x] < 24] == [f"Story {i}", *[f"Paragraph {k} of story {i}" for k in range(2 + i % 4)]]
+
+
 def test_whole_pages_table(spark):
     import re
     from html import unescape

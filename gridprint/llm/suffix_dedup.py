@@ -11,14 +11,15 @@ window's bytes alone, so equal windows have equal anchors at equal offsets.
    bytes of the windows that it anchors. Of equal contexts only the first one of
    a batch travels; the windows of the others are matched at once. Rows are
    narrow: anchor hash, context hash, document, positions.
-2. Per anchor hash, equal contexts are matched to the first; an anchor with one
+2. Per anchor hash, equal contexts (by two 64-bit hashes, of the anchor and of the
+   whole context) are matched to the first; an anchor with one
    context left is finished, which is almost all of them. The rest fetch bytes.
 3. Per anchor hash, a logarithmic family of suffix arrays takes the remaining
-   windows in document order, batch by batch: a batch gets its sorted array, is
-   merge-scanned against the existing levels, and what is new becomes a level;
-   levels of similar size are merged, so there are logarithmically many. Arrays
-   are ordered by a 64-bit fingerprint of the first LENGTH bytes (any order on
-   them gives the same matches); equal fingerprints are confirmed byte by byte.
+   windows in document order, batch by batch: a batch gets its suffix array, whose
+   neighbours with a common prefix of LENGTH bytes repeat, is merge-scanned against
+   the existing levels for such prefixes, and what is new becomes a level; levels of
+   similar size are merged, so there are logarithmically many. Arrays are in the
+   order of their suffixes' bytes, of which the first LENGTH count.
    Anchors with very many contexts are split by the window's offset in them.
 
 All windows of all documents are covered. Defined cases: null or short text
@@ -37,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import materialise, ship, with_row_id
+from gridprint.llm.common import by_size, materialise, scratch_path, ship, with_row_id
 from gridprint.llm.hashing import BASE_2, U, mix, prefix, ranges
 
 LENGTH, K = 100, 24
 #: Bytes that are hashed at once, windows of a batch of the index, contexts of an anchor beyond which its offsets are split.
 BLOCK, BATCH, HOT = 1 << 20, 100_000, 4_000
+#: Bytes of texts whose anchors are sorted at once; equal contexts among them are matched before anything travels.
+SLICE = 16 << 20
 
 
 def pieces(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,7 +109,7 @@ FOUND = "kind int, h long, c long, o long, first int, off int, n int"
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(o, text) -> anchors (kind 0) and matched windows (kind 1; h is random there, n windows from first on)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_size(whole, 1, SLICE)):
         o = batch.column(0).to_numpy(zero_copy_only=False)
         parts: dict[str, list[np.ndarray]] = {}
         for data, owner, at in pieces([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]):
@@ -199,48 +202,46 @@ def _contexts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "part", "o", "first", "off", "skip", "n", "bytes"])
 
 
+#: A suffix up to the length that counts: bytes that numpy sorts and searches as strings.
+SUFFIX = np.dtype(f"S{LENGTH}")
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each pair of suffixes, LENGTH at most."""
+    same = a.view(np.uint8).reshape(-1, LENGTH) == b.view(np.uint8).reshape(-1, LENGTH)
+    return np.where(same.all(1), LENGTH, same.argmin(1))
+
+
 class Family:
-    """Levels of suffix arrays, each sorted by fingerprint: (fingerprints, starts in the text buffer)."""
-
-    def __init__(self, text: np.ndarray):
-        self.text, self.levels = text, []
-
-    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out, span = np.ones(len(a), bool), np.arange(LENGTH)
-        for k in range(0, len(a), 50_000):
-            s = slice(k, k + 50_000)
-            out[s] = (self.text[a[s, None] + span] == self.text[b[s, None] + span]).all(1)
-        return out
-
-    def add(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Take a batch in order; whether each suffix's first LENGTH bytes have come before, in it or in a level."""
-        seen = np.zeros(len(keys), bool)
-        sort = np.argsort(keys, kind="stable")
-        k, s = keys[sort], starts[sort]
-        lead = np.ones(len(k), bool)
-        lead[1:] = k[1:] != k[:-1]
-        group = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        again = np.flatnonzero(~lead)
-        seen[sort[again]] = self.same(s[again], s[group[again]])
-        for level, texts in self.levels:
-            fresh = np.flatnonzero(lead | ~seen[sort])
-            at = np.searchsorted(level, k[fresh])
-            hit = fresh[(at < len(level)) & (level[np.minimum(at, len(level) - 1)] == k[fresh])]
-            hit = hit[~seen[sort[hit]]]
-            where = np.searchsorted(level, k[hit])
-            seen[sort[hit]] = self.same(s[hit], texts[where])
-        # the group's equal rows go with its first: they are matched already
-        new = lead & ~seen[sort]
-        self._push(k[new], s[new])
+    """Levels of suffix arrays, in the order of their suffixes: each LENGTH bytes of distinct suffixes."""
+
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []
+
+    def add(self, suffixes: np.ndarray) -> np.ndarray:
+        """Take a batch in document order; whether each suffix's first LENGTH bytes have come before, in it or in a level."""
+        seen = np.zeros(len(suffixes), bool)
+        order = np.argsort(suffixes, kind="stable")
+        array = suffixes[order]
+        repeats = common_prefix(array[1:], array[:-1]) >= LENGTH
+        seen[order[1:][repeats]] = True
+        lead = np.concatenate([[True], ~repeats]) if len(array) else np.zeros(0, bool)
+        array, order = array[lead], order[lead]
+        fresh = np.ones(len(array), bool)
+        for level in self.levels:
+            # merged with a level, an equal suffix stands right behind
+            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
+            fresh &= common_prefix(array, level[at]) < LENGTH
+        seen[order[~fresh]] = True
+        self._push(array[fresh])
         return seen
 
-    def _push(self, keys: np.ndarray, starts: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(keys):
-            old, texts = self.levels.pop()
-            at = np.searchsorted(old, keys, side="right")
-            keys, starts = np.insert(old, at, keys), np.insert(texts, at, starts)
-        if len(keys):
-            self.levels.append((keys, starts))
+    def _push(self, array: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1]) <= 2 * len(array):
+            old = self.levels.pop()
+            array = np.insert(old, np.searchsorted(old, array), array)
+        if len(array):
+            self.levels.append(array)
 
 
 def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = col["n"].astype(np.int64) + LENGTH - 1
     begin = np.cumsum(size) - size
     order = np.lexsort((col["first"], col["o"]))
-    family = Family(text)
+    family, span = Family(), np.arange(LENGTH)
     at = 0
     total = np.cumsum(col["n"][order].astype(np.int64))
     while at < len(order):
@@ -266,18 +267,11 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.repeat(np.arange(len(rows)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         starts = begin[rows][own] + step
-        # fingerprints of this batch's windows from its own contexts
-        span = size[rows]
-        local = np.cumsum(span) - span
-        data = text[np.repeat(begin[rows] - local, span) + np.arange(int(span.sum()))]
-        sums = prefix(data)
-        here = local[own] + step
         start = col["first"][rows].astype(np.int64)[own] + col["skip"][rows].astype(np.int64)[own] + step
         o = col["o"][rows][own]
-        keys = ranges(sums, here, here + LENGTH) ^ mix(col["h"][rows].view(U))[own]
         sort = np.lexsort((start, o))
-        seen = np.zeros(len(keys), bool)
-        seen[sort] = family.add(keys[sort], starts[sort])
+        seen = np.zeros(len(own), bool)
+        seen[sort] = family.add(text[starts[sort][:, None] + span].view(SUFFIX)[:, 0])
         hit = np.flatnonzero(seen)
         if len(hit):
             cut = np.concatenate([[True], (own[hit][1:] != own[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1)])
@@ -323,9 +317,9 @@ def remove(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one copy of the texts, bucketed, so that later joins by document move only narrow rows
+    # one copy of the texts in the shared folder, bucketed, so that later joins by document move only narrow rows
     name = f"gridprint_suffix_{uuid.uuid4().hex[:12]}"
-    ordered(docs).repartition(parts, "o").write.bucketBy(parts, "o").option("compression", "zstd").saveAsTable(name, format="parquet")
+    ordered(docs).repartition(parts, "o").write.bucketBy(parts, "o").option("compression", "zstd").option("path", scratch_path(spark, "suffix-texts")).saveAsTable(name, format="parquet")
     rows = spark.table(name)
     ids = docs.schema["doc_id"].dataType.simpleString()
     found = rows.select("o", "text").mapInArrow(scan, FOUND).repartition(parts, "h").mapInArrow(settle, FOUND)
@@ -336,6 +330,7 @@ def remove(docs: DataFrame) -> DataFrame:
     early = found.where("kind = 1").select("o", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") + LENGTH - 1).cast("long").alias("end"))
     runs = early.unionByName(late).groupBy("o").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     joined = rows.join(runs.hint("merge"), "o", "left").select("doc_id", "text", "runs")
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files are not in the warehouse
     return joined.mapInArrow(cut, f"doc_id {ids}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
 
 

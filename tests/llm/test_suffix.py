@@ -106,12 +106,21 @@ def test_odd_rows(spark):
 
 def test_levels_grow_geometrically():
     rng = np.random.default_rng(4)
-    text = rng.integers(0, 255, 60_000).astype(np.uint8)
-    family = suffix_dedup.Family(text)
-    starts = np.arange(0, len(text) - N)
-    keys = starts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in np.array_split(np.arange(len(starts)), 64):
-        assert not family.add(keys[part], starts[part]).any()
-    assert family.add(keys, starts).all()
-    sizes = [len(k) for k, _ in family.levels]
-    assert sum(sizes) == len(starts) and len(sizes) <= 8 and sizes == sorted(sizes, reverse=True)
+    text = rng.integers(0, 3, 30_000).astype(np.uint8)  # with null bytes, also at the end
+    suffixes = text[np.arange(0, len(text) - N)[:, None] + np.arange(N)].view(suffix_dedup.SUFFIX)[:, 0]
+    family = suffix_dedup.Family()
+    for part in np.array_split(suffixes, 64):
+        assert not family.add(part).any()
+    assert family.add(suffixes).all()
+    sizes = [len(x) for x in family.levels]
+    assert sum(sizes) == len(suffixes) and len(sizes) <= 8 and sizes == sorted(sizes, reverse=True)
+    for level in family.levels:
+        rows = [level[i : i + 1].tobytes() for i in range(len(level))]
+        assert rows == sorted(rows)
+
+
+def test_common_prefixes():
+    rows = np.zeros((3, N), np.uint8)
+    rows[1, 40], rows[2, N - 1] = 1, 1
+    own = rows.view(suffix_dedup.SUFFIX)[:, 0]
+    assert suffix_dedup.common_prefix(own[[0, 0, 0]], own).tolist() == [N, 40, N - 1]

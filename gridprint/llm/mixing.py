@@ -33,6 +33,10 @@ from gridprint.llm.common import lower_ascii, materialise, rows_as_one
 
 #: Labelled rows that the classifier is fitted on at most, and rows that a feature must stand in; all that do and tell domains apart are used.
 MAX_LABELLED, MIN_ROWS = 20_000, 5
+#: Log-likelihood ratio (G statistic) that a feature's counts must have against equal shares in all domains: what chance gives one in a billion features.
+MIN_EVIDENCE = 50.0
+#: Share of some domain's labelled rows that a feature must stand in; words of one group of copies don't.
+MIN_SHARE = 0.02
 #: How much more often a feature must stand in some domain than in all rows; common words only tell long texts from short.
 MIN_LIFT = 3.0
 STEPS, TOLERANCE = 30, 1e-6
@@ -111,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     shares = [(F.col(f"n{i}") + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]
     mean = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0)) / float(total)
     lift = F.greatest(*shares, F.lit(0.0)) / (mean + 0.5 / total)
-    best = sorted(counted.where((mean * total >= MIN_ROWS) & (lift >= MIN_LIFT)).collect(), key=lambda r: r["f"])  # bounded by the labelled rows
+    evidence = 2.0 * sum((F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") / (mean * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))
+    best = sorted(counted.where((mean * total >= MIN_ROWS) & (lift >= MIN_LIFT) & (evidence >= MIN_EVIDENCE) & (F.greatest(*shares, F.lit(0.0)) >= MIN_SHARE)).collect(), key=lambda r: r["f"])  # bounded by the labelled rows
     weights, absent = {}, [0.0] * len(domains)
     for r in best:
         p = [(r[f"n{i}"] + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]

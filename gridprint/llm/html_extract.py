@@ -40,6 +40,8 @@ from gridprint.llm.common import materialise, ship, with_row_id
 CONSTANT, MIN_PAGES = 0.6, 3
 #: Pages of a host that its reference is grown from, and nodes that an equal text counts for in tree matching.
 SAMPLES, SAME_TEXT = 8, 3
+#: Cells of a table of tree matching that is kept whole.
+SMALL = 4096
 #: Bytes of references up to which they are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -145,7 +147,7 @@ def parse(html: str | None) -> Node:
 
 
 def elements(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node)]
+    return [c for c in node.children if c.__class__ is Node]
 
 
 def number(root: Node) -> list[Node]:
@@ -169,29 +171,37 @@ def label(node: Node) -> str:
     return node.label
 
 
+def kin(root: Node) -> list[Node]:
+    """All nodes, children before their parents."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += elements(node)
+    return order[::-1]
+
+
 def classes(page: Node, reference: Node) -> tuple[dict[int, int], dict[int, int]]:
     """Number of a node -> class, for both trees: subtrees of one class have the same labels and the same texts, of those that stand in both trees. Classes with such a text are odd."""
-    trees = []
-    for root in (page, reference):
-        order, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += elements(node)
-        trees.append(order[::-1])  # children first
+    trees = kin(page), kin(reference)
     common = set().union(*(n.texts for n in trees[0])) & set().union(*(n.texts for n in trees[1]))
     known: dict[tuple, int] = {}
     out: tuple[dict[int, int], dict[int, int]] = {}, {}
     for order, own in zip(trees, out, strict=True):
         for node in order:
-            texts = node.texts & common
-            below = tuple(own[c.number] for c in elements(node))
-            own[node.number] = known.setdefault((label(node), texts, below), 2 * len(known) + (bool(texts) or any(c & 1 for c in below)))
+            texts = node.texts & common if node.texts else node.texts
+            below = tuple([own[c.number] for c in elements(node)]) if node.size > 1 else ()
+            key = label(node), texts, below
+            if (c := known.get(key)) is None:
+                c = known[key] = 2 * len(known) + (1 if texts or any(c & 1 for c in below) else 0)
+            own[node.number] = c
     return out
 
 
 def anchored(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
     """Places of the equal classes with a text that stand once in either list, in the longest order that both have."""
+    if not any(c & 1 for c in xs):
+        return []
     once = [{c: i for i, c in enumerate(side) if c & 1 and n[c] == 1} for side in (xs, ys) for n in [Counter(side)]]
     pairs = [(i, once[1][c]) for c, i in once[0].items() if c in once[1]]
     tails: list[int] = []
@@ -209,9 +219,12 @@ def anchored(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def heaviest(weights: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+def heaviest(weights: list[list[int]], xs: list[int], ys: list[int]) -> tuple[int, list[tuple[int, int]]]:
     """The heaviest matching of two lists in order: (weight, places). weights: of distinct members, xs and ys: which one each place has.
-    A row of the table at a time, and two bits of each cell for the way back."""
+    A row of the table at a time; of large tables, two bits of each cell are kept for the way back."""
+    if len(xs) * len(ys) <= SMALL:
+        return heaviest_of_few(weights, xs, ys)
+    weights, ys = np.array(weights, np.int64), np.array(ys)
     above, moves = np.zeros(len(ys) + 1, np.int64), []
     for x in xs:
         own = weights[x][ys]
@@ -232,6 +245,29 @@ def heaviest(weights: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[int,
     return int(above[-1]), pairs
 
 
+def heaviest_of_few(weights: list[list[int]], xs: list[int], ys: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """heaviest() with a whole table."""
+    table = [[0] * (len(ys) + 1)]
+    for x in xs:
+        above, own, row, last = table[-1], weights[x], [0], 0
+        for j, y in enumerate(ys):
+            both, over = above[j] + own[y], above[j + 1]
+            last = max(last, over, both)
+            row.append(last)
+        table.append(row)
+    pairs, i, j = [], len(xs), len(ys)
+    while i and j:
+        w, here = weights[xs[i - 1]][ys[j - 1]], table[i][j]
+        if w and here == table[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif here == table[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return table[-1][-1], pairs
+
+
 def align(page: Node, reference: Node) -> dict[int, int]:
     """Number of a page's node -> number of the matched reference node, by simple tree matching.
 
@@ -248,28 +284,34 @@ def align(page: Node, reference: Node) -> dict[int, int]:
             todo.pop()
             continue
         xs, ys = elements(a), elements(b)
+        if not xs or not ys:
+            memo[key] = 1, []
+            continue
         cx, cy = [class_a[x.number] for x in xs], [class_b[y.number] for y in ys]
-        fixed = [(-1, -1), *anchored(cx, cy), (len(xs), len(ys))]
-        gaps = [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(fixed, fixed[1:], strict=False) if k > i + 1 and m > j + 1]
-        sides = [({c: x for c, x in zip(cx[g[0] : g[1]], xs[g[0] : g[1]], strict=True)}, {c: y for c, y in zip(cy[g[2] : g[3]], ys[g[2] : g[3]], strict=True)}) for g in gaps]
-        meet = [(x, y) for xs_, ys_ in sides for x in xs_.values() for y in ys_.values() if label(x) == label(y) and x.size > 1 and y.size > 1] + [(xs[i], ys[j]) for i, j in fixed[1:-1] if xs[i].size > 1]
-        missing = [(x, y) for x, y in meet if (class_a[x.number], class_b[y.number]) not in memo]
+        fixed = anchored(cx, cy)
+        stops = [(-1, -1), *fixed, (len(xs), len(ys))]
+        gaps = [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(stops, stops[1:], strict=False) if k > i + 1 and m > j + 1]
+        sides = [(dict(zip(cx[i:k], xs[i:k], strict=True)), dict(zip(cy[j:m], ys[j:m], strict=True))) for i, k, j, m in gaps]
+        missing = [(xs[i], ys[j]) for i, j in fixed if xs[i].size > 1 and (cx[i], cy[j]) not in memo]
+        for xs_, ys_ in sides:
+            for c, x in xs_.items():
+                if x.size > 1:
+                    missing += [(x, y) for e, y in ys_.items() if y.size > 1 and (c, e) not in memo and label(x) == label(y)]
         if missing:
             todo += missing
             continue
         todo.pop()
 
-        def weight(x: Node, y: Node) -> int:
+        def weight(c: int, x: Node, e: int, y: Node) -> int:
             if label(x) != label(y):
                 return 0
-            same = 0 if x.texts.isdisjoint(y.texts) else SAME_TEXT
-            return same + (memo[class_a[x.number], class_b[y.number]][0] if x.size > 1 and y.size > 1 else 1)
+            same = SAME_TEXT if x.texts and y.texts and not x.texts.isdisjoint(y.texts) else 0
+            return same + (memo[c, e][0] if x.size > 1 and y.size > 1 else 1)
 
-        total, pairs = sum(weight(xs[i], ys[j]) for i, j in fixed[1:-1]), fixed[1:-1]
+        total, pairs = sum(weight(cx[i], xs[i], cy[j], ys[j]) for i, j in fixed), fixed
         for (i, k, j, m), (xs_, ys_) in zip(gaps, sides, strict=True):
-            weights = np.array([[weight(x, y) for y in ys_.values()] for x in xs_.values()], np.int64)
             place_x, place_y = ({c: n for n, c in enumerate(side)} for side in (xs_, ys_))
-            more, found = heaviest(weights, np.array([place_x[c] for c in cx[i:k]]), np.array([place_y[c] for c in cy[j:m]]))
+            more, found = heaviest([[weight(c, x, e, y) for e, y in ys_.items()] for c, x in xs_.items()], [place_x[c] for c in cx[i:k]], [place_y[c] for c in cy[j:m]])
             total += more
             pairs = pairs + [(i + p, j + q) for p, q in found]
         memo[key] = 1 + total, pairs

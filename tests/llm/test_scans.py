@@ -24,6 +24,46 @@ def frame(spark, rows):
 ODD = [(1, None), (2, ""), (2, ""), (None, "The MIT License."), (4, "word " * 30_000), (5, "\x00 İ ß Σ … \U0001f600")]
 
 
+def plain_kneser_ney(texts, order=4, discount=0.75):
+    """Interpolated Kneser-Ney in dictionaries: raw counts of the longest n-grams, below them the number of histories."""
+    from collections import Counter, defaultdict
+
+    grams = Counter()
+    for t in texts:
+        padded = "   " + re.sub(r"[^a-z]+", " ", t.lower()).lstrip(" ").rstrip(" ") + " "
+        grams.update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    totals = {n: defaultdict(lambda: [0, 0]) for n in levels}
+    for n, level in levels.items():
+        for g, k in level.items():
+            totals[n][g[:-1]][0] += k
+            totals[n][g[:-1]][1] += 1
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        total, kinds = totals[len(gram)].get(gram[:-1], (0, 0))
+        if not total:
+            return p(gram[1:])
+        return max(levels[len(gram)][gram] - discount, 0) / total + discount * kinds / total * p(gram[1:])
+
+    return grams, p
+
+
+def test_kneser_ney_against_a_plain_one(spark):
+    import numpy as np
+
+    texts = ["the cat sat on the mat", "a cat and a hat that sat", "then the rat ran at the cat", "zebra"]
+    model = language_id.fit(spark.createDataFrame([("en", t) for t in texts] + [("xx", "qqq www")], "lang string, text string"))
+    grams, p = plain_kneser_ney(texts)
+    every = [*grams, "the ", "xyzq", "atzz", "  th", "a ca", "q wa"]
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in every], np.uint64)
+    assert np.allclose(model.models[model.langs.index("en")].probability(keys), [p(g) for g in every])
+
+
 # licenses
 
 def test_license_places_and_labels(spark):

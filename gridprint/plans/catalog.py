@@ -18,6 +18,7 @@ from gridprint.functions import text as T
 from gridprint.operators import evaluation as ev
 from gridprint.operators import fingerprints as fp
 from gridprint.operators import graph, layout
+from gridprint.operators import lookup as lo
 from gridprint.operators import query as qu
 from gridprint.operators import similarity as sim
 from gridprint.operators import vocabulary as vo
@@ -658,6 +659,65 @@ def wal_resume(spark, d):
     return graph.unfinished(read(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("chunk_id")), log(spark, d))
 
 
+# look-ups
+
+@query(f"WITH {S.ONE}, {S.VOC}, {S.IDF}, {S.TCM} SELECT context_id, count(*) AS nnz, round(sum(weight), 6) AS total, round(avg(weight), 6) AS mean FROM tcm GROUP BY context_id")
+def context_stats(spark, d):
+    p = posts1(spark, d)
+    return lo.context_stats(vo.term_context(p, idf_of(spark, d, p))).withColumns({"total": r6("total"), "mean": r6("mean")})
+
+
+@query(f"WITH {S.ONE} SELECT DISTINCT phrase FROM posts JOIN documents ON doc_id = context_id WHERE lang IN ('de', 'fr')")
+def phrase_union(spark, d):
+    of = lambda x: vo.postings(vo.contexts(read(spark, d, "documents").where(F.col("lang") == x), "doc_id", "text"))
+    return lo.phrase_union(of("de"), of("fr"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id = 7")
+def point_lookup(spark, d):
+    return lo.lookup(read(spark, d, "embeddings"), "vec_id", 7).select("vec_id", "label")
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def row_counts(spark, d):
+    return lo.row_counts(documents=read(spark, d, "documents"), embeddings=read(spark, d, "embeddings"))
+
+
+@query("SELECT max(len(embedding))::INT AS size, max(len(embedding)) = min(len(embedding)) AS uniform FROM embeddings")
+def vector_size(spark, d):
+    return lo.vector_size(read(spark, d, "embeddings"), "embedding")
+
+
+@query("SELECT s_suppkey AS step, bool_and(n_regionkey < 3) AS ready FROM supplier, nation WHERE n_nationkey IN (s_nationkey, s_suppkey % 25) GROUP BY s_suppkey")
+def step_readiness(spark, d):
+    steps = read(spark, d, "supplier").select(F.col("s_suppkey").alias("step"), F.array(F.col("s_nationkey").cast("long"), F.col("s_suppkey") % 25).alias("depends_on"))
+    return lo.ready_steps(steps, read(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("step")))
+
+
+@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+def orphaned_runs(spark, d):
+    return lo.orphans(read(spark, d, "customer").select(F.col("c_custkey").alias("name")), read(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("name")))
+
+
+@query("WITH w AS (SELECT l_orderkey AS context_id, l_partkey AS word FROM lineitem WHERE l_linenumber <= 3), k AS (SELECT context_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM w JOIN embeddings ON vec_id = word), m AS (SELECT context_id, i, avg(v) AS v FROM k GROUP BY ALL), n AS (SELECT context_id, round(sum(v * i), 6) AS check_sum, round(sqrt(sum(v * v)), 6) AS norm FROM m GROUP BY context_id) SELECT context_id, coalesce(check_sum, 0.0)::DOUBLE AS check_sum, coalesce(norm, 0.0)::DOUBLE AS norm FROM (SELECT DISTINCT context_id FROM w) LEFT JOIN n USING (context_id)")
+def mean_vectors(spark, d):
+    words = read(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("context_id"), F.col("l_partkey").alias("word"))
+    v = lo.mean_vectors(words, read(spark, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector")), 64)
+    total = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return v.select("context_id", r6(total).alias("check_sum"), r6(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+
+
+@query(f"WITH {SCALED} SELECT context_id, round(CASE WHEN label % 3 = 0 THEN x + 0.1 * ({GRID // 2} - x) ELSE x END, 6)::DOUBLE AS x, round(CASE WHEN label % 3 = 0 THEN y + 0.1 * ({GRID // 2} - y) ELSE y END, 6)::DOUBLE AS y FROM sc")
+def position_nudge(spark, d):
+    wrong = read(spark, d, "embeddings").where("label % 3 = 0").select(F.col("vec_id").alias("context_id"), F.lit(GRID // 2).alias("tx"), F.lit(GRID // 2).alias("ty"))
+    return lo.nudge(grid_scale(spark, d), wrong).select("context_id", r6("x").cast("double").alias("x"), r6("y").cast("double").alias("y"))
+
+
+@query("SELECT doc_id AS context_id FROM documents ORDER BY md5('0:' || doc_id) LIMIT 20")
+def random_contexts(spark, d):
+    return lo.random_contexts(docs(spark, d), 20)
+
+
 # rows only
 
 def smoothed(sigma: float) -> str:

@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 16 << 20
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write and read back, so that later plans start from the table and lost executors cost no lineage."""
     spark = df.sparkSession
@@ -25,7 +29,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the Python workers, once per Spark context."""
+    """Send this package's code to the Python workers, once per Spark context, and let Arrow batches end by size, since rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_gridprint_shipped", False):
         return

@@ -44,6 +44,6 @@ def test_numbers_come_back():
     assert (bl._numbers(bl._bytes(x)) == x).all() and len(bl._numbers(bl._bytes(x[:0]))) == 0
 
 
-@pytest.mark.parametrize("name", ["doc_ranking"])
+@pytest.mark.parametrize("name", ["doc_ranking", "score_gaps"])
 def test_cells_of_documents_are_not_gathered(spark, name):
     assert not re.search(r"collect_list\(struct\(cell", plan(catalog.QUERIES[name](spark, SF)))

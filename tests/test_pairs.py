@@ -55,3 +55,10 @@ def test_measures_match_the_columns(spark, rows):
 @pytest.mark.parametrize("name", ["jaccard_set", "levenshtein_sim", "pair_stats"])
 def test_pairs_are_not_joined_row_by_row(spark, name):
     assert "NestedLoopJoin" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_candidates_are_ranked_once(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(catalog, "store", lambda df, name: sizes.append(df.count()) or df)
+    n = catalog.block(spark, SF).count()
+    assert catalog.candidate_filter(spark, SF).count() and sizes == [10 * n]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridprint.operators import blocks as bl
 from gridprint.operators import fingerprints as fp
 from gridprint.operators import layout
 from gridprint.operators import query as qu
@@ -55,16 +56,17 @@ class Pipeline:
             raise ValueError(f"unknown reducer {self.reducer!r}")
         coords = store(coords, "coordinates")
         prints = store(fp.phrase_fingerprints(fp.phrase_counts(tcm, fp.cells(coords))), "phrases")
-        documents = fp.accumulate(tcm, prints, "context_id")
-        if self.top_percent < 1:
-            documents = fp.per_grid(documents, "context_id", self.grid, self._sparse())
+        placed = bl.hashed(tcm.select("phrase", "context_id")).join(fp.cells(coords), "context_id")
+        change = bl.on_grids(self.grid, self._sparse()) if self.top_percent < 1 else None
+        kind = contexts.schema["context_id"].dataType.simpleString()
+        documents = bl.documents(placed, contexts.select("context_id"), self.grid, bl.as_rows(change), f"context_id {kind}, cell long, value double", F.col("cell"), 1, True)
         if self.normalise != "none":
             documents = fp.normalise(documents, "context_id", self.normalise)
         return Index(vocab, tcm, idf, coords, prints, store(documents.where("value <> 0"), "documents"))
 
     def _sparse(self):
         share, sigma = self.top_percent, self.sigma
-        return lambda g: fp.topological(fp.smooth(g, sigma), share)  # smoothing is linear: once per document instead of once per phrase
+        return lambda g: fp.topological_all(fp.smooth(g, sigma), share)  # smoothing is linear: once per document instead of once per phrase
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
         """queries (query_id, text) to (query_id, context_id, score, rank); unknown phrases stand for their nearest known ones."""

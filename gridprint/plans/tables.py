@@ -31,6 +31,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the Python workers, once per Spark context, and let Arrow batches end by size, since rows may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # a union that is re-planned on the way may not have the partitions that it promised
     sc = spark.sparkContext
     if getattr(sc, "_gridprint_shipped", False):
         return

@@ -15,9 +15,9 @@ become their ids, as the library does by default.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
-import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ COMMON_WORDS = re.compile("[a-z\xdf-\xf6\xf8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9
 MAX_WORDS = 60_000
 MIN_COUNT = 3
 MEMO = 150_000
+#: Words that are merged together; the rank of what doesn't merge, which leaves room for a place beside it.
+TOGETHER, NONE = 16_384, 1 << 50
 
 
 def byte_letters() -> list[str]:
@@ -48,6 +51,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _lists(flat, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.uint32()))
+
+
 class Merges:
     """Vocabulary and merge ranks of a tokenizer file with word ends."""
 
@@ -58,6 +65,7 @@ class Merges:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.names: pa.Array | None = None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         letters = byte_letters()
@@ -67,6 +75,18 @@ class Merges:
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[self.vocab[a], self.vocab[b]] = (r, self.vocab[a + b])
+        # the same as arrays: sorted pairs and their ranks, and what each rank makes
+        order = sorted((a << 32 | b, r) for (a, b), (r, _) in self.rank.items())
+        self.pairs, self.ranks = (np.array([x[k] for x in order] or [0], np.int64) for k in (0, 1))
+        self.made = np.zeros(len(model["merges"]) + 1, np.int64)
+        for r, new in self.rank.values():
+            self.made[r] = new
+
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NONE for those that don't merge; ids under 0 are no ids."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0) & bool(self.rank), self.ranks[at], NONE)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest rank first, leftmost among equals."""
@@ -90,6 +110,57 @@ class Merges:
                 found[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merge_all(self, words: list[str]) -> pa.ListArray:
+        """merge() of each word. Words of up to 40 bytes take a step together."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([len(w) for w in raw], np.int64)
+        parts, order, low = [_lists([], [])], [], 0
+        for high in (8, 16, 40):
+            own = np.flatnonzero((size > low) & (size <= high)) if None not in self.inner + self.last else size[:0]
+            for at in range(0, len(own), TOGETHER):
+                order.append(own[at : at + TOGETHER])
+                parts.append(self.merge_together([raw[i] for i in order[-1]], size[order[-1]], high))
+            low = high
+        rest = np.setdiff1d(np.arange(len(raw)), np.concatenate([*order, size[:0]]))
+        alone = [self.merge(words[i]) for i in rest]
+        parts.append(_lists([i for x in alone for i in x], [len(x) for x in alone]))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate([*order, rest]))))
+
+    def merge_together(self, raw: list[bytes], size: np.ndarray, high: int) -> pa.ListArray:
+        """Words of up to `high` bytes, one a column: each round merges the lowest rank of every word, leftmost among equals."""
+        n = len(raw)
+        data = np.zeros((n, high), np.uint8)
+        data[np.arange(high) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        # a row more, where what lies before the first and after the last letter is looked up
+        ids = np.full((high + 1, n), -1, np.int64)
+        ids[:high] = np.where(np.arange(high)[:, None] < size, np.array(self.inner)[data.T], -1)
+        ids[size - 1, np.arange(n)] = np.array(self.last)[data[np.arange(n), size - 1]]
+        following = np.repeat(np.arange(1, high + 2)[:, None], n, 1)
+        following[size - 1, np.arange(n)] = high
+        previous = np.repeat(np.arange(-1, high)[:, None], n, 1)
+        previous[0] = high
+        place = np.arange(high + 1)[:, None]
+        found = np.full((high + 1, n), NONE)
+        found[: high - 1] = self.ranked(ids[: high - 1], ids[1:high]) << 6 | place[: high - 1]
+        done, word = np.zeros((n, high), np.int32), np.arange(n)
+
+        while len(word):
+            best = found[:high].min(0)
+            go = best < NONE
+            if 2 * go.sum() <= len(go):
+                done[word[~go]] = ids[:high, ~go].T
+                ids, following, previous, found, word, best = ids[:, go], following[:, go], previous[:, go], found[:, go], word[go], best[go]
+                go = go[go]
+            c = np.flatnonzero(go)
+            i, new = best[c] & 63, self.made[best[c] >> 6]
+            j = following[i, c]
+            k, h = following[j, c], previous[i, c]
+            ids[i, c], ids[j, c], found[j, c] = new, -1, NONE
+            following[i, c], previous[k, c] = k, i
+            found[i, c] = self.ranked(new, ids[k, c]) << 6 | i
+            found[h, c] = self.ranked(ids[h, c], new) << 6 | h
+        return _lists(done[done >= 0], (done >= 0).sum(1))
+
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap."""
         n, rank = len(ids), self.rank
@@ -112,6 +183,12 @@ class Merges:
                 heapq.heappush(heap, (rank[p][0], h, *p, rank[p][1]))
         return [x for x in ids if x >= 0]
 
+    def tokens(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of each list, joined by spaces."""
+        if self.names is None:
+            self.names = pa.array([self.token.get(i, "") for i in range(max(self.token) + 1)], pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
+
 
 #: Code points that `regex` may class as letters or numbers and the library, which knows Unicode 16, does not.
 LATE = (
@@ -231,8 +308,16 @@ class Lexicon:
         return cls(*(whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)))
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
-        """Ids of each word, None if it isn't here. All words take a step at a time."""
-        out: list[list[int] | None] = [None] * len(words)
+        """Ids of each word, None if it isn't here."""
+        return [self.ids[self.offsets[n] : self.offsets[n + 1]].tolist() if n >= 0 else None for n in self.numbers(words).tolist()]
+
+    def lists(self, numbers: np.ndarray) -> pa.ListArray:
+        """Ids of the words of these numbers."""
+        return _lists(self.ids, np.diff(self.offsets)).take(pa.array(numbers))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Number of each word, -1 if it isn't here. All words take a step at a time."""
+        out = np.full(len(words), -1)
         size, longest = np.array([len(w) for w in words], np.int64), 64
         live = np.flatnonzero(size <= longest)
         if not len(live) or not len(self.edges):
@@ -244,9 +329,7 @@ class Lexicon:
         edges, goto, skip = self.edges, self.goto, self.skip
         for step in range(longest + 1):
             ended = size == step
-            for i, n in zip(live[ended].tolist(), np.where(self.final[state[ended]] > 0, number[ended], -1).tolist(), strict=True):
-                if n >= 0:
-                    out[i] = self.ids[self.offsets[n] : self.offsets[n + 1]].tolist()
+            out[live[ended]] = np.where(self.final[state[ended]] > 0, number[ended], -1)
             keep = ~ended
             live, size, begin, state, number = (x[keep] for x in (live, size, begin, state, number))
             if not len(live):
@@ -260,37 +343,57 @@ class Lexicon:
 
 
 class Encoder:
-    """Words to ids: dictionaries in front of the automaton, and merging behind it."""
+    """Words to ids: a dictionary of numbers in front of the automaton, merging behind it, and tables by number."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon, self.split = merges, lexicon, Splitter(merges.pattern, merges.special)
-        self.packed: dict[str, bytes] = {}
-        self.tokens: dict[str, str] = {}
+        self.number: dict[str, int] = {}
+        self.stay = np.zeros(0, bool)
+        self.packed, self.tokens = pa.array([], pa.binary()), pa.array([], pa.string())
 
     def learn(self, words: set[str]) -> None:
-        """Put words that the dictionaries lack into them."""
-        new = list(words)
-        token, special = self.merges.token, self.merges.special
-        for word, found in zip(new, self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]) if self.lexicon is not None else [None] * len(new), strict=True):
-            if word[0] == "\0" and word[1:] in special:
-                found = [special[word[1:]]]
-            elif found is None:
-                found = self.merges.merge(word)
-            self.tokens[word] = " ".join([token[i] for i in found])
-            self.packed[word] = struct.pack(f"<{len(found)}I", *found)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """Put words that the tables lack into them."""
+        special = {"\0" + t: i for t, i in self.merges.special.items()}
+        marked = [w for w in words if w in special]
+        plain = list(words.difference(marked))
+        at = self.lexicon.numbers([w.encode("utf-8", "surrogatepass") for w in plain]) if self.lexicon is not None else np.full(len(plain), -1)
+        known, rare = np.flatnonzero(at >= 0), [plain[i] for i in np.flatnonzero(at < 0)]
+        parts = [_lists([special[w] for w in marked], [1] * len(marked)), self.merges.merge_all(rare)]
+        if len(known):
+            parts.insert(0, self.lexicon.lists(at[known]))
+        ids = pa.concat_arrays(parts)
+        ends = 4 * ids.offsets.to_numpy()
+        packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.values.to_numpy().astype("<u4"))])
+        for word in itertools.chain((plain[i] for i in known), marked, rare):
+            self.number[word] = len(self.number)
+        self.stay = np.append(self.stay, np.arange(len(ids)) < len(known))
+        self.packed, self.tokens = pa.concat_arrays([self.packed, packed]), pa.concat_arrays([self.tokens, self.merges.tokens(ids)])
+
+    def forget(self) -> None:
+        """Words of the automaton stay, of which there are few and which come again; the others go."""
+        self.number = {w: i for i, w in enumerate(itertools.compress(self.number, self.stay.tolist()))}
+        kept = pa.array(self.stay)
+        self.packed, self.tokens = self.packed.filter(kept), self.tokens.filter(kept)
+        self.stay = self.stay[self.stay]
+
+    def arrays(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
         """(ids as little-endian bytes, tokens joined by spaces) of each text."""
         words = [self.split(t or "") for t in texts]
         every = set().union(*words)
-        missing = every.difference(self.packed)
-        if len(self.packed) + len(missing) > MEMO:
-            self.packed.clear()
-            self.tokens.clear()
-            missing = every
+        missing = every.difference(self.number)
+        if len(self.number) + len(missing) > MEMO and not self.stay.all():
+            self.forget()
+            missing = every.difference(self.number)
         self.learn(missing)
-        ids, tokens = self.packed.__getitem__, self.tokens.__getitem__
-        return [b"".join(map(ids, w)) for w in words], [" ".join(map(tokens, w)) for w in words]
+        ends = np.cumsum([0, *map(len, words)])
+        flat = pa.array(np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), np.int32, ends[-1]))
+        offsets = pa.array(ends, pa.int32())
+        return tuple(pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(flat)), pa.scalar(between, table.type)) for table, between in ((self.packed, b""), (self.tokens, " ")))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """arrays() as lists."""
+        ids, tokens = self.arrays(texts)
+        return ids.to_pylist(), tokens.to_pylist()
 
 
 #: The encoder of this worker, kept from task to task.
@@ -337,15 +440,15 @@ def encode(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     merges = Merges(path)
-    lexicon = Lexicon.build({w: merges.merge(w) for w in frequent_words(docs, path, max_words)})
+    words = frequent_words(docs, path, max_words)
+    lexicon = Lexicon.build(dict(zip(words, merges.merge_all(words).to_pylist(), strict=True)))
     data = spark.sparkContext.broadcast(lexicon.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, data.value)
         for batch in batches:
             for part in by_size(batch, 1, 4 << 20):
-                ids, decoded = own.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *own.arrays(part.column(1).to_pylist())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -2,6 +2,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,29 @@ def test_lexicon_is_exact_and_minimal():
     assert bpe.Lexicon.mapped(bpe.Lexicon.build({}).dump()).find([b"a"]) == [None]
 
 
+def test_words_together_as_one_by_one():
+    merges = bpe.Merges(tokenizer_path())
+    draw = np.random.default_rng(3)
+    letters = np.array(list("aaeinrstlé漢'0_"))
+    words = ["".join(draw.choice(letters, n)) for n in draw.integers(1, 60, 3000)] + ["the", "a", "aaaaaaaa", "e" * 40, "e" * 41]
+    assert merges.merge_all(words).to_pylist() == [merges.merge(w) for w in words]
+    assert merges.merge_all([]).to_pylist() == []
+
+
+def test_words_of_the_automaton_are_learned_once(monkeypatch):
+    """Rare words make room, and the automaton's words don't go with them."""
+    merges = bpe.Merges(tokenizer_path())
+    own = bpe.Encoder(merges, bpe.Lexicon.build({w: merges.merge(w) for w in ("the", "river", "stone")}))
+    plain, seen, learn = bpe.Encoder(merges, None), [], own.learn
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    monkeypatch.setattr(own, "learn", lambda words: (seen.extend(words), learn(words)))
+    for k in range(20):
+        texts = [f"the river x{chr(97 + k)}q", None, "", f"<|endoftext|> the stone {'z' * (k + 1)}"]
+        assert own.encode(texts) == plain.encode(texts)
+        assert len(own.number) <= 20
+    assert all(seen.count(w) == 1 for w in ("the", "river", "stone"))
+
+
 def test_bpe_odd_rows(spark):
     assert bpe.encode(frame(spark, ODD), tokenizer_path()).count() == len(ODD)
     assert bpe.encode(frame(spark, []), tokenizer_path()).count() == 0

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import by_size, most_frequent, ship
+from gridprint.llm.common import KEPT, by_size, drop_kept, most_frequent, ship, sparing
 
 #: Fixed value: the word pattern of the tokenizer file that the shorter one below stands in for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -396,16 +396,13 @@ class Encoder:
         return ids.to_pylist(), tokens.to_pylist()
 
 
-#: The encoder of this worker, kept from task to task.
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, data: bytes) -> Encoder:
-    key = path, hash(data)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Merges(path), Lexicon.mapped(data))
-    return _ENCODERS[key]
+    """The encoder of this worker, kept from task to task."""
+    key = "encoder", path, hash(data)
+    if key not in KEPT:
+        drop_kept()
+        KEPT[key] = Encoder(Merges(path), Lexicon.mapped(data))
+    return KEPT[key]
 
 
 def count_words(path: str):
@@ -431,7 +428,7 @@ def count_words(path: str):
 def frequent_words(docs: DataFrame, path: str, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> list[str]:
     """The most frequent words of all rows, at most max_words, all of a frequency class or none."""
     ship(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(count_words(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(sparing(count_words(path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(r["word"] for r in most_frequent(counts.where(F.col("n") >= min_count), max_words).collect())
 
 
@@ -451,7 +448,7 @@ def encode(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *own.arrays(part.column(1).to_pylist())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(sparing(run, keep=True), f"doc_id {kind}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:

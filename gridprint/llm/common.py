@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 16 << 20
+#: What a Python worker keeps from task to task, for one operator at a time.
+KEPT: dict = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,9 +46,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, arrow_bytes: int = ARROW_BYTES) -> None:
     """Send this package's code to the Python workers, once per Spark context, and let Arrow batches end by size, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", arrow_bytes)
     sc = spark.sparkContext
     if getattr(sc, "_gridprint_shipped", False):
         return
@@ -57,6 +61,35 @@ def ship(spark: SparkSession) -> None:
     sc._gridprint_shipped = True
 
 
+def drop_kept() -> None:
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False):
+    """A function for mapInArrow that leaves its worker small, since workers wait for the tasks of later stages: what others keep goes before it, what it frees after it."""
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            drop_kept()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return spared
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import by_size, materialise, ship
+from gridprint.llm.common import by_size, materialise, ship, sparing
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -332,7 +332,7 @@ def fit(learn: DataFrame) -> Model:
     """Learn from rows (lang, text); all n-grams are kept."""
     spark = learn.sparkSession
     ship(spark)
-    counts = learn.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = learn.where("lang is not null and text is not null").select("lang", "text").mapInArrow(sparing(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "ngrams")
     table, every = counts, []
     for order in range(ORDER, 0, -1):
@@ -342,7 +342,7 @@ def fit(learn: DataFrame) -> Model:
     rows = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
     # a history has at most 65,536 n-grams; low 16 bits order them as unsigned numbers
     sorted_rows = rows.repartitionByRange("lang", "level", "history").sortWithinPartitions("lang", "level", "history", F.col("gram").bitwiseAND(F.lit(0xFFFF)))
-    stored = Stored(sorted_rows.mapInArrow(discounted, "lang string, level int, keys binary, share binary, past binary, weight binary"))
+    stored = Stored(sorted_rows.mapInArrow(sparing(discounted), "lang string, level int, keys binary, share binary, past binary, weight binary"))
 
     def surprisals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = stored.models()
@@ -353,7 +353,7 @@ def fit(learn: DataFrame) -> Model:
                 bits = -np.log2(models[x].probability(keys[own]))
                 yield pa.RecordBatch.from_arrays([pa.array([x]), *(pa.array([float(v.sum())]) for v in (n[own], n[own] * bits, n[own] * bits**2))], ["lang", "n", "s1", "s2"])
 
-    sums = counts.mapInArrow(surprisals, "lang string, n double, s1 double, s2 double").groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("n", "s1", "s2"))).collect()
+    sums = counts.mapInArrow(sparing(surprisals), "lang string, n double, s1 double, s2 double").groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("n", "s1", "s2"))).collect()
     spread = {r["lang"]: (r["s1"] / r["n"], np.sqrt(max(0.0, r["s2"] / r["n"] - (r["s1"] / r["n"]) ** 2))) for r in sums}
     langs = sorted(spread)
     return StoredModel(stored, langs, np.array([spread[x] for x in langs]).reshape(-1, 2))
@@ -372,7 +372,7 @@ def predict(docs: DataFrame, model: Model, z: float = Z, slack: float = SLACK) -
                 langs, score, bits, ok = shared.value.score(part.column(1).to_pylist(), z, slack)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(ok)], ["doc_id", "lang_pred", "score", "bits", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(sparing(run), f"doc_id {kind}, lang_pred string, score double, bits double, accepted boolean")
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def accepted(docs: DataFrame, model: Model | None = None, z: float = Z, slack: f
             for part in by_size(batch, at, SLICE):
                 yield part.filter(pa.array(shared.value.score(part.column(at).to_pylist(), z, slack)[3], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

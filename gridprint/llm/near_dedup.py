@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprint.llm.common import by_size, materialise, rows_as_one, ship, with_row_id
+from gridprint.llm.common import by_size, materialise, rows_as_one, ship, sparing, with_row_id
 from gridprint.llm.hashing import U, mix, shingles
 
 #: Coordinates of a sketch; bands, and rows of a band, that it is cut into.
@@ -48,6 +48,8 @@ T, BANDS, ROWS = 128, 32, 4
 #: Rounds, members that share a hub in a round, and hubs that a member is tested against in one.
 HUB_ROUNDS, SHARING, PARTNERS = 1, 5, 4
 SIMILAR = 75
+#: Bytes of an Arrow batch: with two texts a row, larger ones stand several times in the memory of each task.
+ARROW_BYTES = 4 << 20
 _SALTS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -139,7 +141,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar. The text of b travels; a, the hub, may be in any number of pairs."""
     with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(confirmed, "a long, b long")
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(sparing(confirmed), "a long, b long")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -167,13 +169,13 @@ def differences(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     first = live.groupBy("key").agg(F.min("rid").alias("v"))
     families = components(live.join(first, "key").select(F.col("rid").alias("u"), "v"))
     members = live.select("rid").distinct().join(families, F.col("rid") == F.col("node"), "left").select(F.coalesce("root", "rid").alias("family"), "rid")
-    members = materialise(members.join(texts, "rid").select("family", "rid", "text").mapInArrow(shingled, "family long, rid long, n long, h array<long>"), "members")
+    members = materialise(members.join(texts, "rid").select("family", "rid", "text").mapInArrow(sparing(shingled), "family long, rid long, n long, h array<long>"), "members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     counts = materialise(members.select("family", F.explode("h").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "elements")
     # shingles that most members have: at most twice as many as a member has on average
     common = materialise(counts.join(sizes, "family").where("2 * f > size").select("family", "s", (F.col("size") - F.col("f")).alias("f")), "common")
     base = common.groupBy("family").agg(F.sort_array(F.collect_list("s")).alias("base"))
-    apart = members.join(base, "family", "left").select("family", "rid", "n", "h", "base").mapInArrow(differing, "family long, rid long, n long, more array<long>, less array<long>")
+    apart = members.join(base, "family", "left").select("family", "rid", "n", "h", "base").mapInArrow(sparing(differing), "family long, rid long, n long, more array<long>, less array<long>")
     apart = materialise(apart, "differences")
     told = apart.select("family", "rid", "n", (F.size("more") + F.size("less")).cast("long").alias("d"))
     # elements that another member's difference has too, with their frequency among differences; those of one member come before them
@@ -207,9 +209,9 @@ def sharing_elements(told: DataFrame, at: DataFrame, roots: DataFrame) -> DataFr
 def linked(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id of the rows with the same set)."""
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, ARROW_BYTES)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sketched, f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")), "sketches")
+    rows = materialise(with_row_id(docs.select("doc_id", "text").mapInArrow(sparing(sketched), f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")), "sketches")
     key = ["k1", "k2", "n_shingles"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "classes")

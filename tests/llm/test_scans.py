@@ -3,10 +3,11 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridprint.llm import bpe, language_id, license_scan, quality, secrets
+from gridprint.llm import bpe, common, language_id, license_scan, near_dedup, quality, secrets
 from gridprint.llm.registry import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -342,6 +343,17 @@ def test_words_of_the_automaton_are_learned_once(monkeypatch):
     assert all(seen.count(w) == 1 for w in ("the", "river", "stone"))
 
 
+def test_workers_keep_one_operators_objects():
+    """An encoder stays from task to task of its own stage, and goes when the worker turns to another."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", None])], ["doc_id", "text"])
+    data = bpe.Lexicon.build({}).dump()
+    own = bpe.encoder(tokenizer_path(), data)
+    list(common.sparing(lambda batches: batches, keep=True)(iter([batch])))
+    assert bpe.encoder(tokenizer_path(), data) is own
+    assert sum(x.num_rows for x in common.sparing(near_dedup.sketched)(iter([batch]))) == 2
+    assert not common.KEPT and bpe.encoder(tokenizer_path(), data) is not own
+
+
 def test_bpe_odd_rows(spark):
     assert bpe.encode(frame(spark, ODD), tokenizer_path()).count() == len(ODD)
     assert bpe.encode(frame(spark, []), tokenizer_path()).count() == 0
